@@ -119,3 +119,49 @@ def texts_of(batch: pa.RecordBatch, name: str, limit: int = WORK_BYTES) -> Itera
     data, starts = utf8(column(batch, name))
     for low, high in runs(starts, limit):
         yield low, high, data[starts[low] : starts[high]], starts[low : high + 1] - starts[low]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in turn, from batches that are sorted by the keys.
+
+    Holds one batch and the rows of one key.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(column(batch, k)) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(low, high - low)])
+            held = []
+        held.append(batch.slice(cuts[-2], cuts[-1] - cuts[-2]))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def distinct_shingles(data: np.ndarray, starts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's set of shingle hashes in ascending order, and where each text's begin."""
+    hashed, begin = shingles(data, starts, width)
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((hashed, text))
+    hashed, text = hashed[order], text[order]
+    new = np.ones(len(hashed), bool)
+    new[1:] = (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])
+    hashed, text = hashed[new], text[new]
+    return hashed, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(begin) - 1))])
+
+
+def segment_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the values from each begin to the next, 0 for none; 64-bit sums wrap around."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[begin[1:]] - total[begin[:-1]]

@@ -76,7 +76,7 @@ def thresholds(drawn: DataFrame, goals: DataFrame) -> DataFrame:
         inside = drawn if not level else _to_source(drawn, found.select("source", "edge"), ["edge"]).where(F.substring("draw", 1, DIGITS * level) == F.col("edge"))
         histogram = inside.groupBy("source", F.substring("draw", 1, DIGITS * (level + 1)).alias("bucket")).agg(F.sum("size").alias("tokens"))
         below = Window.partitionBy("source").orderBy("bucket")
-        levels = histogram.join(F.broadcast(found) if level else found, histogram.source.eqNullSafe(found.source)).drop(histogram.source)
+        levels = histogram.join(found, histogram.source.eqNullSafe(found.source)).drop(histogram.source)
         edge = (
             levels.withColumn("upto", F.sum("tokens").over(below))
             .where(F.col("upto") > F.col("budget"))

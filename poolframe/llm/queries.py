@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from poolframe.llm import mixing, packing, token_count
+from poolframe.llm import mixing, ngram_join, packing, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(_table(spark, sf_dir, "documents"), width=5, part=75, of=100).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op8_source_mix": op8_source_mix,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 #: Sizes, targets by running sums, and by plain sorting the hash up to which a source is taken once more.
@@ -50,4 +55,16 @@ SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (b.base + CASE WHEN
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON e.n = b.n
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_source_mix": _OP8}
+#: Overlaps of all pairs that share a shingle, and what can be reached over the links.
+_OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(words[i : i + 4], ' ') FOR i IN range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)]) AS grams FROM w),
+n AS (SELECT doc_id, len(grams)::BIGINT AS n_shingles FROM s),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT n.doc_id, n.n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_source_mix": _OP8, "op10_ngram_join": _OP10}

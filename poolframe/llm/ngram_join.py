@@ -9,11 +9,11 @@ likeness asked for.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolframe.llm.arrow import column, distinct_shingles, groups, mix64, segment_sums, texts_of
@@ -23,9 +23,11 @@ from poolframe.llm.store import stored, unused
 #: Counters of the sketch of n-gram frequencies, and how many go in a row.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Documents that share an n-gram are paired up to this number; beyond it they go to one family.
-RUN = 32
+RUN = 100
 #: n-grams that the sets of one block of a family hold together.
 BLOCK = 1 << 17
+#: Bits of the map of documents that a family may need.
+FILTER_BITS = 1 << 25
 
 _SIGN = np.uint64(0x5DEECE66D1234567)
 
@@ -42,7 +44,7 @@ class Likeness:
 
     def spare(self, n: np.ndarray) -> np.ndarray:
         """How many n-grams of the prefixes two sets share at least, if n is the smaller one's size."""
-        return -(-n // 16)
+        return -(-n // 10)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         """So many first n-grams of each of two like sets have spare(smaller) in common."""
@@ -118,8 +120,8 @@ def _ranks(sketch: np.ndarray) -> np.ndarray:
 def _entries(documents: DataFrame, ranks: np.ndarray, width: int, like: Likeness) -> DataFrame:
     """(key, other, size, place): n-gram and set for the prefix of each set.
 
-    For n-grams of common passages set and n-gram change places, with size 0: these rows
-    are edges as they stand, and their key spreads them over all tasks.
+    For n-grams of common passages set and n-gram change places: these rows
+    are edges as they stand, and their key spreads them over all tasks; their size is negative.
     """
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
@@ -149,7 +151,7 @@ def _entries(documents: DataFrame, ranks: np.ndarray, width: int, like: Likeness
                     [
                         pa.array(np.where(common, own, token)),
                         pa.array(np.where(common, token, own)),
-                        pa.array(np.where(common, 0, n[text]).astype(np.int32)),
+                        pa.array(np.where(common, -n[text], n[text]).astype(np.int32)),
                         pa.array(place.astype(np.int32)),
                     ],
                     names=["key", "other", "size", "place"],
@@ -158,13 +160,8 @@ def _entries(documents: DataFrame, ranks: np.ndarray, width: int, like: Likeness
     return documents.mapInArrow(run, "key bigint, other bigint, size int, place int")
 
 
-def _candidates(entries: DataFrame, like: Likeness) -> DataFrame:
-    """Edges (a, b) between sets, or sets and n-grams, such that like sets are connected.
-
-    Like sets share spare() n-grams of their prefixes. Either one of those is common or
-    shared by more than RUN sets, and an edge leads from each set to that n-gram or to its
-    first set, or all of them make a row of the pair, and their number tells.
-    """
+def _keyed(rows: DataFrame, per_key: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """`per_key` over all rows of some whole keys at a time, in order of key and other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -173,22 +170,54 @@ def _candidates(entries: DataFrame, like: Likeness) -> DataFrame:
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             # The last key's rows may go on in the next batch.
             complete = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            yield _pairs(*(x[:complete] for x in held), like)
+            yield per_key(*(x[:complete] for x in held))
             held = [x[complete:] for x in held]
         if held is not None:
-            yield _pairs(*held, like)
+            yield per_key(*held)
+
+    return rows.repartition("key").sortWithinPartitions("key", "other").mapInArrow(run, schema)
+
 
-    rows = entries.repartition("key").sortWithinPartitions("key", "other").mapInArrow(run, "a bigint, b bigint, shared int, need int")
+def _candidates(entries: DataFrame, like: Likeness) -> DataFrame:
+    """Edges (a, b) between sets, or sets and n-grams, such that like sets are connected.
+
+    Like sets share spare() n-grams of their prefixes, so only sets remain of whose prefix
+    so many are in others' too. Either one of a pair's n-grams is common or shared by more
+    than RUN sets, and an edge leads from each set to that n-gram or to its first set, or
+    all of them make a row of the pair, and their number tells.
+    """
+    shared = stored(_keyed(entries, _shared, "key bigint, other bigint, size int, place int"), "shared")
+    own = F.when(F.col("size") < 0, F.col("key")).otherwise(F.col("other"))
+    counted = shared.groupBy(own.alias("set_id")).agg(F.count("*").alias("n"), F.max(F.abs("size")).alias("size"))
+    hopeful = counted.where(F.col("n") >= F.ceil(F.ceil(F.col("size") * like.part / like.of) / 10)).select("set_id")
+    shared = shared.withColumn("set_id", own).join(hopeful, "set_id", "left_semi").drop("set_id")
+    rows = _keyed(shared, lambda *x: _pairs(*x, like), "a bigint, b bigint, shared int, need int")
     paired = rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
     return paired.where("shared >= need").select("a", "b")
 
 
+def _distinct(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    return new
+
+
+def _shared(key: np.ndarray, other: np.ndarray, size: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Of the rows those of common n-grams and those of n-grams that several sets have, once each."""
+    new = _distinct(key, other)
+    key, other, size, place = key[new], other[new], size[new], place[new]
+    common, several = size < 0, np.zeros(len(key), bool)
+    several[1:] = key[1:] == key[:-1]
+    several[:-1] |= several[1:]
+    keep = common | several
+    return pa.record_batch([pa.array(x[keep]) for x in (key, other, size, place)], names=["key", "other", "size", "place"])
+
+
 def _pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray, like: Likeness) -> pa.RecordBatch:
-    common = size == 0
+    """Pairs, and how many n-grams of their prefixes these rows show them to share."""
+    common = size < 0
     a, b, need = [token[common]], [ids[common]], [np.zeros(int(common.sum()), np.int64)]
-    size, place, keep = size.astype(np.int64), place.astype(np.int64), ~common
-    keep[1:] &= (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-    token, ids, size, place = token[keep], ids[keep], size[keep], place[keep]
+    token, ids, size, place = token[~common], ids[~common], size[~common].astype(np.int64), place[~common].astype(np.int64)
     if len(token):
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(begin, len(token)))
@@ -214,9 +243,7 @@ def _pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarr
     a, b, need = map(np.concatenate, (a, b, need))
     order = np.lexsort((b, a))
     a, b, need = a[order], b[order], need[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(_distinct(a, b))
     shared = np.diff(np.append(at, len(a)))
     # A pair that needs no further evidence at one n-gram needs none at all.
     need = np.where(np.minimum.reduceat(need, at) == 0, 0, need[at]) if len(at) else need
@@ -343,6 +370,25 @@ def linked(indexed: list[np.ndarray], probes: list[np.ndarray] | None, like: Lik
     return out
 
 
+def _only(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """The documents that may be members, by a bitmap of FILTER_BITS bits at hashes of their keys.
+
+    It has FILTER_BITS / 32 rows at most, whatever the size of the corpus. It only saves
+    shuffling texts: what it lets through by chance goes in the join with the members.
+    """
+
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+    def bit(place: Column) -> Column:
+        return F.pow(F.lit(2.0), F.pmod(place, F.lit(32))).cast("bigint")
+
+    at = place(F.col("member"))
+    words = members.groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(bit(at)).alias("bits"))
+    at = place(F.col("doc_id"))
+    return documents.join(F.broadcast(words), F.floor(at / 32) == F.col("word")).where(F.col("bits").bitwiseAND(bit(at)) != 0).drop("word", "bits")
+
+
 def _links(documents: DataFrame, members: DataFrame, width: int, like: Likeness) -> DataFrame:
     """Links (a, b) between the sets of each family; members has (doc_id, set_id, family, blocks)."""
 
@@ -381,7 +427,8 @@ def _links(documents: DataFrame, members: DataFrame, width: int, like: Likeness)
                 a, b = [], []
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    texts = documents.join(members.withColumnRenamed("doc_id", "member"), documents.doc_id.eqNullSafe(F.col("member"))).select("text", "set_id", "family", "blocks")
+    members = stored(members.withColumnRenamed("doc_id", "member"), "members")
+    texts = _only(documents, members).join(members, F.col("doc_id").eqNullSafe(F.col("member"))).select("text", "set_id", "family", "blocks")
     blocks = texts.mapInArrow(ship, "family bigint, one int, two int, own int, set_id bigint, body binary")
     # A text may be there more than once where a key is.
     return blocks.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "set_id").mapInArrow(join, "a bigint, b bigint")

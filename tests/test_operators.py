@@ -45,7 +45,7 @@ def test_closure(tiny):
     [
         ("status=down", [11, 102, 103]),
         ("sched-now=allocated", [100]),
-        ("sched-future=reserved", [104]),
+        ("sched-future=reserved", [104, 105]),
         ("jobid-alloc=7", [100]),
         ("property=fast and status=up", [10, 12, 13]),
         ("property=fast status=up", [10, 12, 13]),

@@ -27,9 +27,9 @@ def states(vertices: DataFrame, spans: DataFrame, pairs: DataFrame, now: int) ->
 
 def find(stated: DataFrame, pairs: DataFrame, where: Column) -> DataFrame:
     """The pools that meet a condition and all above them, with `hit`: whether they meet it themselves."""
-    hits = stated.where(where).select("uniq_id")
-    shown = ancestors(pairs, hits)
-    return stated.join(shown, "uniq_id", "left_semi").join(hits.withColumn("hit", F.lit(True)), "uniq_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    hits = stated.where(where).select(F.col("uniq_id").alias("desc"))
+    shown = pairs.join(hits, "desc").groupBy(F.col("anc").alias("uniq_id")).agg(F.bool_or(F.col("depth") == 0).alias("hit"))
+    return stated.join(shown, "uniq_id")
 
 
 def status_counts(stated: DataFrame) -> DataFrame:

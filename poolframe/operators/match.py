@@ -78,3 +78,21 @@ def either(made: Sequence[DataFrame], by: Sequence[str] = ("parent",)) -> DataFr
         part = df.where("slots > 0").withColumn("variant", F.lit(n))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy(*by).agg(F.min(F.struct("variant", "slots")).alias("first")).select(*by, "first.variant", "first.slots")
+
+
+def mixed_slots(units: DataFrame, first: dict[str, int], second: dict[str, int], by: Sequence[str] = ("parent",)) -> DataFrame:
+    """by, slots: the most slots that units (by, type, amount) make, each of either of two shapes.
+
+    For every number of the first shape that there is enough for, what is left decides on the
+    second; amounts can be cut freely.
+    """
+    types = sorted({*first, *second})
+    sums = units.where(F.col("type").isin(*types)).groupBy(*by).agg(*[F.sum(F.when(F.col("type") == t, F.col("amount")).otherwise(0)).alias(f"has_{n}") for n, t in enumerate(types)])
+    has = {t: F.col(f"has_{n}") for n, t in enumerate(types)}
+
+    def made(shape: dict[str, int], less: Column | None = None) -> Column:
+        left = [F.floor((has[t] - (less * first.get(t, 0) if less is not None else 0)) / n) for t, n in shape.items()]
+        return F.least(*left) if len(left) > 1 else left[0]
+
+    tried = F.transform(F.sequence(F.lit(0).cast("bigint"), made(first)), lambda i: i + made(second, i))
+    return sums.select(*by, F.array_max(tried).alias("slots"))

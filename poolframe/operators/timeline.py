@@ -124,3 +124,22 @@ def change_totals(points: DataFrame, change: Column) -> DataFrame:
 def same(a: DataFrame, b: DataFrame) -> bool:
     """Whether both hold the same points, each as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def earliest_for_many(points: DataFrame, groups: DataFrame, wanted: int, duration: int, members: int, after: int = 0) -> DataFrame:
+    """grp, tm: when first, from `after` on, `wanted` units remain for `duration` in `members` pools of a group at once.
+
+    `groups` has uniq_id and grp. Where too little remains, a pool can't be had from `duration` before until the
+    end; these times are merged for each pool and counted for each group by a running sum, so no pool's times
+    meet another's in a join.
+    """
+    short = segments(points).where(F.col("remaining") < wanted).join(groups, "uniq_id")
+    closed = short.select("grp", "uniq_id", (F.col("tm") - duration + 1).alias("low"), F.coalesce("until", F.lit(1 << 60)).alias("high"))
+    before = Window.partitionBy("uniq_id").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    island = F.sum(F.when(F.col("low") > F.col("reach"), 1).otherwise(0)).over(Window.partitionBy("uniq_id").orderBy("low", "high"))
+    merged = closed.withColumn("reach", F.max("high").over(before)).withColumn("island", island).groupBy("grp", "uniq_id", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    steps = merged.select("grp", F.inline(F.array(F.struct(F.col("low").alias("tm"), F.lit(1).alias("change")), F.struct(F.col("high").alias("tm"), F.lit(-1).alias("change")))))
+    steps = steps.unionByName(sizes.select("grp", F.lit(after).cast("bigint").alias("tm"), F.lit(0).alias("change"))).groupBy("grp", "tm").agg(F.sum("change").alias("change"))
+    closed_at = steps.withColumn("closed", F.sum("change").over(Window.partitionBy("grp").orderBy("tm")))
+    return closed_at.join(sizes, "grp").where((F.col("tm") >= after) & (F.col("n") - F.col("closed") >= members)).groupBy("grp").agg(F.min("tm").alias("tm"))

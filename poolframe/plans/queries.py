@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from poolframe.functions import counts, idset
 from poolframe.operators import closure, find, jobs, match, policy, predicates, rollup, timeline, update
 from poolframe.plans import model
-from poolframe.sources import readers, writers
+from poolframe.sources import readers, requests, writers
 from poolframe.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,22 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find.states(_held(spark, sf_dir), model.spans(spark, sf_dir), _pairs(spark, sf_dir), model.NOW)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("poolframe.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="poolframe-")
+        spark.conf.set("poolframe.shared.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a shared folder and read again."""
+    path = _scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Capacity over time.
 
 
@@ -268,7 +284,10 @@ def _find_sql(condition: str) -> str:
 
 
 def _found(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return find.find(_states(spark, sf_dir), _pairs(spark, sf_dir), predicates.criteria(text)).select("uniq_id", "name", "hit")
+    # What a search reads more than once is written first, as a session of searches would keep it.
+    pairs = _kept(_pairs(spark, sf_dir), "pairs")
+    stated = _kept(find.states(_held(spark, sf_dir), model.spans(spark, sf_dir), pairs, model.NOW), "states")
+    return find.find(stated, pairs, predicates.criteria(text)).select("uniq_id", "name", "hit")
 
 
 @query(_find_sql("down"), _V, _E, _C, _S, _ST)
@@ -439,6 +458,28 @@ def xor_slot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.either([match.slots(children, {"core": 50, "gpu": 20}), match.slots(children, {"core": 50})])
 
 
+@query(
+    "SELECT parent, list_max([i + least((c - i * 50) // 30, (g - i * 20) // 40) FOR i IN range(0, least(c // 50, g // 20)::BIGINT + 1)])::BIGINT AS slots FROM (SELECT parent, coalesce(sum(amount) FILTER (type = 'core'), 0)::BIGINT AS c, coalesce(sum(amount) FILTER (type = 'gpu'), 0)::BIGINT AS g FROM ch GROUP BY parent)",
+    _SLOT.split("nb AS")[0].rstrip(",\n "),
+)
+def or_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.mixed_slots(_children(spark, sf_dir), {"core": 50, "gpu": 20}, {"core": 30, "gpu": 40})
+
+
+_MANY = """
+gr AS (SELECT (1000 + s_suppkey)::BIGINT AS v, (100 + s_nationkey)::BIGINT AS grp FROM supplier),
+sh AS (SELECT gr.grp, seg.v, tm - 4 AS low, coalesce(until, 1 << 60) AS high FROM seg JOIN gr ON gr.v = seg.v WHERE remaining < 20),
+ca AS (SELECT DISTINCT grp, high AS tm FROM sh WHERE high BETWEEN 1000 AND 1200 UNION SELECT DISTINCT grp, 1000 FROM gr),
+ok AS (SELECT ca.grp, ca.tm, (SELECT count(*) FROM gr WHERE gr.grp = ca.grp) - count(DISTINCT sh.v) AS n FROM ca LEFT JOIN sh ON sh.grp = ca.grp AND sh.low <= ca.tm AND sh.high > ca.tm GROUP BY ca.grp, ca.tm)"""
+
+
+@query("SELECT grp, min(tm)::BIGINT AS tm FROM ok WHERE n >= 2 GROUP BY grp", _S, _T, _SEG, _MANY)
+def match_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When first two sockets of a node have 20 units for five days, of the next 200 days."""
+    groups = model.edges(spark, sf_dir).where("subsystem = 'containment' AND src >= 100").select(F.col("dst").alias("uniq_id"), F.col("src").alias("grp"))
+    return timeline.earliest_for_many(_timeline(spark, sf_dir), groups, wanted=20, duration=5, members=2, after=1000).where("tm <= 1200")
+
+
 # Changes of state.
 
 
@@ -538,6 +579,16 @@ def estimate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and sinks.
 
 
+@query(
+    "SELECT o_orderkey AS jobid, '0' AS req, NULL::VARCHAR AS parent, 0 AS depth, 'node' AS type, 1 + o_orderkey % 3 AS cmin, 1 + o_orderkey % 3 + 4 AS cmax, '*' AS oper, 2 AS operand, true AS exclusive, NULL::VARCHAR AS label, (o_orderkey % 5 * 2 + 1)::BIGINT AS duration FROM orders UNION ALL SELECT o_orderkey, '0.0', '0', 1, 'slot', 1, 1, '+', 1, NULL, 'task', o_orderkey % 5 * 2 + 1 FROM orders UNION ALL SELECT o_orderkey, '0.0.0', '0.0', 2, 'core', 2, 2, '+', 1, NULL, NULL, o_orderkey % 5 * 2 + 1 FROM orders UNION ALL SELECT o_orderkey, '0.0.1', '0.0', 2, 'gpu', 1, 1, '+', 1, NULL, NULL, o_orderkey % 5 * 2 + 1 FROM orders"
+)
+def jobspec_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    slot = '{"type": "slot", "count": 1, "label": "task", "with": [{"type": "core", "count": 2}, {"type": "gpu", "count": 1}]}'
+    text = F.format_string('{"version": 1, "resources": [{"type": "node", "count": {"min": %d, "max": %d, "operator": "*", "operand": 2}, "exclusive": true, "with": [' + slot + ']}], "attributes": {"system": {"duration": %d.5}}}', 1 + key % 3, 5 + key % 3, key % 5 * 2)
+    return requests.requests(model.table(spark, sf_dir, "orders").select(key.alias("jobid"), text.alias("jobspec")))
+
+
 @query(
     "SELECT 'cluster' AS type, 0::BIGINT AS id, '/cluster0' AS path UNION ALL SELECT 'rack', r, '/cluster0/rack' || r FROM range(3) t(r) UNION ALL SELECT 'node', r * 4 + n, '/cluster0/rack' || r || '/node' || (r * 4 + n) FROM range(3) t(r), range(4) u(n) UNION ALL SELECT 'core', 100 + 2 * ((r * 4 + n) * 6 + c), '/cluster0/rack' || r || '/node' || (r * 4 + n) || '/core' || (100 + 2 * ((r * 4 + n) * 6 + c)) FROM range(3) t(r), range(4) u(n), range(6) w(c)"
 )
@@ -545,15 +596,6 @@ def recipe_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.expand(spark, "cluster", [("rack", 3, 0, 1), ("node", 4, 0, 1), ("core", 6, 100, 2)])
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.conf.get("poolframe.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="poolframe-")
-        spark.conf.set("poolframe.shared.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT uniq_id, type, name, id, rank, size, status, false AS exclusive, path FROM v WHERE type <> 'tenant'", _V)
 def graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "graph")

@@ -213,3 +213,25 @@ def test_readers_and_writers(spark, tiny, tmp_path):
     lists = writers.rank_lists(readers.rank_units(df))
     assert {(r.ranks, r.children) for r in lists.collect()} == {("0-1", "core=0-2 gpu=1"), ("5", "core=7")}
     assert readers.allowed(vertices, "node, rack").count() == 6 and readers.allowed(vertices, "").count() == 15
+
+
+def test_requests(spark):
+    from poolframe.sources import requests
+
+    specs = {
+        1: '{"version": 1, "resources": [{"type": "node", "count": {"min": 2, "max": 8, "operator": "^", "operand": 2}, "with": [{"type": "core", "count": 4}, {"type": "core", "count": 1}]}], "attributes": {"system": {"duration": 1.2}}}',
+        2: "not json",
+        3: '{"version": 1, "resources": [{"type": "node"}, {"type": "rack", "count": 0}]}',
+        4: None,
+    }
+    rows = requests.requests(spark.createDataFrame(list(specs.items()), "jobid long, jobspec string"))
+    got = {(r.jobid, r.req): (r.parent, r.type, r.cmin, r.cmax, r.oper, r.operand, r.duration) for r in rows.collect()}
+    assert got == {(1, "0"): (None, "node", 2, 8, "^", 2, 2), (1, "0.0"): ("0", "core", 4, 4, "+", 1, 2), (1, "0.1"): ("0", "core", 1, 1, "+", 1, 2), (3, "1"): (None, "rack", 0, 0, "+", 1, None)}
+    assert {tuple(r) for r in requests.problems(rows).collect()} == {(1, "repeated type"), (3, "count")}
+
+
+def test_mixed_slots(spark):
+    units = spark.createDataFrame([(1, "a", 10), (1, "b", 9), (2, "a", 4), (3, "b", 7)], "parent long, type string, amount long")
+    got = {r.parent: r.slots for r in match.mixed_slots(units, {"a": 3, "b": 1}, {"b": 2}).collect()}
+    want = {p: max(i + (b - i) // 2 for i in range(min(a // 3, b) + 1)) for p, a, b in ((1, 10, 9), (2, 4, 0), (3, 0, 7))}
+    assert got == want

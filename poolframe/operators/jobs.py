@@ -56,6 +56,16 @@ def first_come(jobs: DataFrame, nodes: int) -> DataFrame:
     return slim.repartition("queue").sortWithinPartitions("queue", *order()).drop("priority").mapInArrow(run, "queue string, jobid bigint, start bigint, state string")
 
 
+def windows(jobs: DataFrame, start: int, end: int) -> DataFrame:
+    """Jobs (at, duration) with until and state: durations are rounded up, 0 lasts as long as the graph does.
+
+    What would last beyond the graph's end is cut there; what begins then is busy, a negative duration invalid.
+    """
+    length = F.when(F.col("duration") == 0, F.lit(end - start)).otherwise(F.ceil("duration")).cast("bigint")
+    state = F.when(F.col("duration") < 0, "invalid").when(F.col("at") >= end, "busy").otherwise("ok")
+    return jobs.withColumns({"until": F.least(F.col("at") + length, F.lit(end).cast("bigint")), "state": state})
+
+
 def counters(jobs: DataFrame, state: Column) -> DataFrame:
     """queue, state, jobs: how many jobs of each queue are in each state."""
     return jobs.groupBy("queue", state.alias("state")).agg(F.count("*").alias("jobs"))

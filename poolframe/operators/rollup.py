@@ -24,6 +24,29 @@ def subtree_totals(vertices: DataFrame, pairs: DataFrame, tracked: dict[str, lis
     return summed.where(wanted).select(F.col("anc").alias("anchor"), "rtype", "total")
 
 
+def tracked_types(text: str) -> dict[str, list[str]]:
+    """Anchors' types with the types that they track, from "anchor:type,...".
+
+    What ALL tracks, no other anchor has to name.
+    """
+    out: dict[str, list[str]] = {}
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        anchor, given, kind = part.partition(":")
+        if not given or not anchor or not kind or ":" in kind:
+            raise ValueError(f"invalid rule: {part!r}")
+        if kind not in out.setdefault(anchor, []):
+            out[anchor].append(kind)
+    every = out.get("ALL", [])
+    return {a: kept for a, kinds in out.items() if (kept := [k for k in kinds if a == "ALL" or k not in every])}
+
+
+def anchors_with(totals: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """anchor: those whose totals (anchor, rtype, total) are enough of every type; others needn't be searched below."""
+    need = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    enough = totals.where(F.col("rtype").isin(*wanted)).where(F.col("total") >= need[F.col("rtype")])
+    return enough.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("anchor")
+
+
 def subtree_usage(spans: DataFrame, vertices: DataFrame, pairs: DataFrame, now: int) -> DataFrame:
     """anchor, rtype, used: units below each pool that spans hold at a time, those used at all."""
     held = spans.where((F.col("st") <= now) & (F.col("last") > now)).groupBy("uniq_id").agg(F.sum("planned").alias("used"))

@@ -202,6 +202,12 @@ def planner_multi_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("uniq_id", "rtype").agg(F.sum("planned").alias("planned"), F.count_if(F.col("planned") > 0).alias("spans"))
 
 
+@query("SELECT v AS uniq_id, jobid, rtype, st, last, n - jobid % 3 AS planned FROM ms WHERE rtype = 'core' AND n > jobid % 3 UNION ALL SELECT v, jobid, rtype, st, last, n FROM ms WHERE rtype = 'core' AND n < jobid % 3 UNION ALL SELECT v, jobid, rtype, st, last, n FROM ms WHERE rtype <> 'core' AND n > 0", _S, _M)
+def planner_multi_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    less = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("jobid"), F.lit("core").alias("rtype"), (F.col("o_orderkey") % 3).alias("units"))
+    return timeline.reduce_spans(model.multi_spans(spark, sf_dir), less, ("jobid", "rtype")).select("uniq_id", "jobid", "rtype", "st", "last", "planned")
+
+
 # The hierarchy.
 
 
@@ -272,6 +278,18 @@ def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.request_totals(model.table(spark, sf_dir, "orders").select(key.alias("jobid"), F.inline(rows)), levels=2)
 
 
+@query("SELECT cl.a AS anchor FROM cl JOIN v ON v.uniq_id = cl.b WHERE depth > 0 GROUP BY cl.a HAVING sum(v.size) FILTER (v.type = 'socket') >= 30 AND sum(v.size) FILTER (v.type = 'node') >= 3", _V, _E, _C)
+def subplan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = rollup.subtree_totals(_held(spark, sf_dir), _pairs(spark, sf_dir), rollup.tracked_types("ALL:socket,ALL:node"))
+    return rollup.anchors_with(totals, {"socket": 30, "node": 3})
+
+
+@query("SELECT jobid, least(t_submit + CASE WHEN duration = 1 THEN 2000 ELSE duration END, 2000) AS until, CASE WHEN t_submit >= 2000 THEN 'busy' ELSE 'ok' END AS state FROM jb", "jb AS (SELECT o_orderkey AS jobid, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS t_submit, (1 + o_orderkey % 30)::BIGINT AS duration FROM orders)")
+def job_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = model.jobs(spark, sf_dir).select("jobid", F.col("t_submit").alias("at"), F.when(F.col("duration") == 1, 0.0).otherwise(F.col("duration") - 0.5).alias("duration"))
+    return jobs.windows(timed, 0, 2000).select("jobid", "until", "state")
+
+
 # Searching.
 
 _ST = """
@@ -654,6 +672,14 @@ def shorthand_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.shorthand(_held(spark, sf_dir), _pairs(spark, sf_dir), given).select("uniq_id")
 
 
+@query("SELECT dst AS uniq_id, dst % 3 = 0 AS exclusive FROM ed WHERE subsystem = 'containment' AND src % 3 <> 0 UNION ALL SELECT dst, dst % 3 = 0 FROM ed WHERE subsystem = 'containment' AND src = 0", _E)
+def graph_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools without those that an exclusive parent stands for; the root is not among them."""
+    edges = model.edges(spark, sf_dir).where("subsystem = 'containment'")
+    chosen = edges.select(F.col("dst").alias("uniq_id"), (F.col("dst") % 3 == 0).alias("exclusive"))
+    return writers.without_implied(chosen, edges)
+
+
 # Streams.
 
 _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"

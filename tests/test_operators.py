@@ -235,3 +235,17 @@ def test_mixed_slots(spark):
     got = {r.parent: r.slots for r in match.mixed_slots(units, {"a": 3, "b": 1}, {"b": 2}).collect()}
     want = {p: max(i + (b - i) // 2 for i in range(min(a // 3, b) + 1)) for p, a, b in ((1, 10, 9), (2, 4, 0), (3, 0, 7))}
     assert got == want
+
+
+def test_tracked_types():
+    assert rollup.tracked_types("ALL:core, rack:node,rack:core,rack:node") == {"ALL": ["core"], "rack": ["node"]}
+    assert rollup.tracked_types("") == {}
+    for text in ("core", ":core", "rack:", "a:b:c"):
+        with pytest.raises(ValueError):
+            rollup.tracked_types(text)
+
+
+def test_windows(spark):
+    df = spark.createDataFrame([(1, 5, 1.2), (2, 90, 30.0), (3, 3, 0.0), (4, 100, 1.0), (5, 1, -1.0)], "jobid long, at long, duration double")
+    got = {r.jobid: (r.until, r.state) for r in jobs.windows(df, 0, 100).collect()}
+    assert got[1] == (7, "ok") and got[2] == (100, "ok") and got[3] == (100, "ok") and got[4][1] == "busy" and got[5][1] == "invalid"

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy working set holds; a single longer text is taken alone.
-WORK_BYTES = 2 << 20
+WORK_BYTES = 1 << 20
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = np.zeros(256, bool)

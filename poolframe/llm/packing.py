@@ -47,7 +47,7 @@ def pack(
     vocabulary: str,
     length: int = 2048,
     end_id: int = 1,
-    block_tokens: int = 1 << 20,
+    block_tokens: int = 1 << 19,
     linear: float = 1.0,
     quadratic: float = 1.0 / 1024,
     text: str = "text",
@@ -75,9 +75,12 @@ def pack(
         kept: list[np.ndarray] = []
         held = 0
         rows: list[tuple] = []
+        bodies: list[np.ndarray] = []
 
         def emit(d: int, ids: np.ndarray, start: int, whole: int, at: int, offset: int) -> None:
-            rows.append((keys[d], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, at, offset) + ((ids.tolist(),) if with_ids else ()))
+            rows.append((keys[d], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, at, offset))
+            if with_ids:
+                bodies.append(ids)
 
         def flush() -> None:
             nonlocal sequence, keys, kept, held
@@ -95,13 +98,18 @@ def pack(
             keys, kept, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            columns = list(zip(*rows, strict=True))
+            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, bodies)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(bodies).astype(np.int32)))
             rows.clear()
-            return pa.record_batch([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:7]), *(pa.array(c, pa.list_(pa.int32())) for c in columns[7:])], names=names)
+            bodies.clear()
+            return pa.record_batch(arrays, names=names)
 
         for batch in batches:
             kind = column(batch, "key").type
-            for low, high, data, starts in texts_of(batch, "text", 4 << 20):
+            for low, high, data, starts in texts_of(batch, "text", 1 << 20):
                 ids, begin = encoder.encode(data, starts)
                 keys += column(batch, "key").slice(low, high - low).to_pylist()
                 for a, b in zip(begin[:-1], begin[1:], strict=True):

@@ -131,7 +131,7 @@ class Encoder:
     What is kept is bounded: it begins anew once it holds more than `most` pre-tokens.
     """
 
-    def __init__(self, merger: Merger, most: int = 400_000):
+    def __init__(self, merger: Merger, most: int = 200_000):
         self.merger, self.most = merger, most
         self._reset()
 
@@ -193,7 +193,7 @@ def count_tokens(documents: DataFrame, vocabulary: str, max_tokens: int = 1024,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for low, high, data, starts in texts_of(batch, "text", 4 << 20):
+            for low, high, data, starts in texts_of(batch, "text", 1 << 20):
                 n = encoder.counts(data, starts)
                 yield pa.record_batch([column(batch, "key").slice(low, high - low), pa.array(np.diff(starts)), pa.array(n, pa.int64()), pa.array(n > max_tokens)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 

@@ -61,10 +61,10 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
     return np.where(some_a & some_b, estimate, (some_a == some_b).astype(float))
 
 
-def packed(prints: np.ndarray, some: np.ndarray) -> list[str]:
-    """Hex digits, one for each bin; none for a text without words."""
+def packed(prints: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """Two bins in a byte; none for a text without words."""
     body = (prints[:, 0::2] << 4 | prints[:, 1::2]).astype(np.uint8)
-    return [row.tobytes().hex() if s else "" for row, s in zip(body, some.tolist(), strict=True)]
+    return [row.tobytes() if s else b"" for row, s in zip(body, some.tolist(), strict=True)]
 
 
 def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,8 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - k] + other[:k]
 
 
-_FIELDS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: As stored; the bytes are shown as hex digits in the end.
+_FIELDS = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compare(texts: list[str], after: list[str], width: int) -> list[pa.Array]:
@@ -87,9 +88,9 @@ def _compare(texts: list[str], after: list[str], width: int) -> list[pa.Array]:
     (own, some), (theirs, other), (new, has) = (fingerprints(*flat(x), width) for x in (texts, after, changed))
     return [
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(c.encode()).hexdigest() for c in changed]),
-        pa.array(packed(own, some)),
-        pa.array(packed(new, has)),
+        pa.array([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()),
+        pa.array(packed(own, some), pa.binary()),
+        pa.array(packed(new, has), pa.binary()),
         pa.array(likeness(own, new, some, has)),
         pa.array(likeness(own, theirs, some, other)),
     ]
@@ -146,7 +147,7 @@ def with_edits(documents: DataFrame, width: int = 5, text: str = "text", key: st
 
     def edge(which: str, part: int, row: pa.RecordBatch) -> pa.RecordBatch:
         none = pa.nulls(1)
-        return pa.record_batch([pa.array([part], pa.int32()), pa.array([which]), row.column(0), row.column(1).cast(pa.string()), *(none.cast(t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
+        return pa.record_batch([pa.array([part], pa.int32()), pa.array([which]), row.column(0), row.column(1).cast(pa.string()), *(none.cast(t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()))], names=names)
 
     done = stored(ranged.mapInArrow(run, f"part int, edge string, key {kind}, text string, {_FIELDS}"), "prints")
     inner = done.where("edge IS NULL").select(F.col("key").alias(key), *names[4:])
@@ -162,4 +163,5 @@ def with_edits(documents: DataFrame, width: int = 5, text: str = "text", key: st
             if batch.num_rows:
                 yield pa.record_batch([column(batch, "key"), *_compare(column(batch, "text").to_pylist(), column(batch, "after").to_pylist(), width)], names=[key, *names[4:]])
 
-    return inner.unionByName(pairs.mapInArrow(finish, f"`{key}` {kind}, {_FIELDS}"))
+    both = inner.unionByName(pairs.mapInArrow(finish, f"`{key}` {kind}, {_FIELDS}"))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})

@@ -41,7 +41,8 @@ def match(pools: DataFrame, edges: DataFrame, request: Sequence[tuple[str, int]]
         # The outermost level is one group, as the whole graph answers for it: as many rows as there
         # are pools of that type that can serve, the fewest of all levels.
         by = ["parent"] if len(levels) < len(request) - 1 else []
-        chosen = best(here, F.lit(need), by, order)
+        # The level above reads it, and so does the way back down: it is kept, and made again if lost.
+        chosen = best(here, F.lit(need), by, order).select("uniq_id", "parent", "taken").persist()
         levels.append(chosen)
         able = chosen.select(F.col("parent").alias("uniq_id")).distinct()
     out: DataFrame | None = None

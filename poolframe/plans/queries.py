@@ -420,7 +420,8 @@ r AS (SELECT uniq_id, parent, 1::BIGINT AS taken FROM r1 WHERE of_all >= 2 AND p
 @query("SELECT 0 AS level, uniq_id, parent, taken FROM r UNION ALL SELECT 1, uniq_id, parent, taken FROM n WHERE parent IN (SELECT uniq_id FROM r) UNION ALL SELECT 2, uniq_id, parent, taken FROM s WHERE parent IN (SELECT uniq_id FROM n WHERE parent IN (SELECT uniq_id FROM r))", _V, _E, _S, _T, _SEG, _F, _MATCH)
 def match_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = model.edges(spark, sf_dir).where("subsystem = 'containment'")
-    return match.match(_free(spark, sf_dir), edges, [("rack", 2), ("node", 2), ("socket", 20)], [F.col("id"), F.col("uniq_id")])
+    # Each level reads the pools, so they are written once.
+    return match.match(_kept(_free(spark, sf_dir), "free"), edges, [("rack", 2), ("node", 2), ("socket", 20)], [F.col("id"), F.col("uniq_id")])
 
 
 @query("SELECT count(*) AS nodes FROM fr WHERE type = 'node' AND status = 'up' AND rank > 4 AND free > 0", _V, _E, _S, _T, _SEG, _F)

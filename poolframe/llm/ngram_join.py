@@ -26,6 +26,10 @@ COUNTERS, CHUNK = 1 << 20, 1 << 12
 RUN = 100
 #: n-grams that the sets of one block of a family hold together.
 BLOCK = 1 << 17
+#: Sets of a family that all of its blocks are compared with first, as long as these fit a quarter of a block.
+STANDARDS = 32
+#: Bytes of sets after which a task passes on what it has made for the blocks.
+SHIP_BYTES = 1 << 22
 #: Bits of the map of documents that a family may need.
 FILTER_BITS = 1 << 25
 
@@ -389,23 +393,83 @@ def _only(documents: DataFrame, members: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(words), F.floor(at / 32) == F.col("word")).where(F.col("bits").bitwiseAND(bit(at)) != 0).drop("word", "bits")
 
 
-def _links(documents: DataFrame, members: DataFrame, width: int, like: Likeness) -> DataFrame:
-    """Links (a, b) between the sets of each family; members has (doc_id, set_id, family, blocks)."""
+def _shipped(batches: Iterator[pa.RecordBatch], width: int, apart: bool) -> Iterator[pa.RecordBatch]:
+    """Sets of texts for pairs of blocks: of block `own` with each of those from `low` to `high`.
+
+    If not `apart`, for each of these blocks alone, as one of its own. A batch holds
+    SHIP_BYTES of sets and one set more at most, however many blocks get a set.
+    """
+    kinds = {"family": pa.int64(), "one": pa.int32(), "two": pa.int32(), "own": pa.int32(), "set_id": pa.int64(), "body": pa.binary()}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        want, family, own, first, last = (np.asarray(column(batch, c)) for c in ("set_id", "family", "own", "low", "high"))
+        for low, high, data, starts in texts_of(batch, "text"):
+            sets, begin = distinct_shingles(data, starts, width)
+            ids = set_ids(sets, begin)
+            for i in np.flatnonzero(ids == want[low:high]).tolist():
+                body, mine = sets[begin[i] : begin[i + 1]].tobytes(), int(own[low + i])
+                for j in range(int(first[low + i]), int(last[low + i])):
+                    rows.append((int(family[low + i]), min(mine, j) if apart else j, max(mine, j) if apart else j, mine if apart else j, int(ids[i]), body))
+                    held += len(body)
+                    if held >= SHIP_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
+def _blocks_of(n: Column, sets: Column) -> Column:
+    """How many blocks so many n-grams of so many sets make: of BLOCK n-grams, or two sets."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / F.lit(BLOCK)), F.ceil(sets / F.lit(2)))).cast("int")
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """Blocks for members (doc_id, set_id, n, family) of families of several: own, and low to high where they go.
+
+    Each goes to one block, but for a few standards of a family of several blocks, which go
+    to all: an n-gram in four of a block is theirs at most, or one set is.
+    """
+    draw = F.xxhash64("set_id", F.lit(1))
+    families = members.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), F.min_by("set_id", draw).alias("standard")).where("sets > 1")
+    families = families.select("family", "sets", "standard", _blocks_of(F.col("total"), F.col("sets")).alias("blocks"), F.least(F.lit(STANDARDS), F.floor(F.lit(BLOCK / 4) * F.col("sets") / F.col("total"))).alias("most"))
+    own = F.pmod(F.col("set_id"), F.col("blocks")).cast("int")
+    every = (F.col("set_id") == F.col("standard")) | (F.pmod(draw, F.col("sets")) < F.col("most"))
+    placed = members.join(families, "family").withColumn("own", own)
+    return placed.select("doc_id", "set_id", "n", "family", "blocks", "own", F.when(every, F.lit(0)).otherwise(F.col("own")).alias("low"), F.when(every, F.col("blocks")).otherwise(F.col("own") + 1).alias("high"))
+
+
+def _placed_again(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Blocks for what the first comparison leaves open: members of families that are in several classes.
+
+    classes has (node, label). Members of one class are connected, so those of a family's
+    largest class meet the family's others only, and these meet all.
+    """
+    several = placed.where("blocks > 1").select("doc_id", "set_id", "n", "family")
+    classed = several.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("class", F.coalesce("label", "set_id")).drop("label")
+    sizes = classed.groupBy("family", "class").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
+    families = sizes.groupBy("family").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class", "sets")).alias("main"), F.sum("n").alias("n"), F.sum("sets").alias("sets")).where("classes > 1")
+    families = families.select(
+        "family",
+        F.col("main.class").alias("main"),
+        _blocks_of(F.col("main.n"), F.col("main.sets")).alias("mains"),
+        _blocks_of(F.col("n") - F.col("main.n"), F.col("sets") - F.col("main.sets")).alias("others"),
+    )
+    is_main = F.col("class") == F.col("main")
+    own = F.when(is_main, F.col("others") + F.pmod(F.col("set_id"), F.col("mains"))).otherwise(F.pmod(F.col("set_id"), F.col("others"))).cast("int")
+    high = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    return classed.join(families, "family").select("doc_id", "set_id", "family", own.alias("own"), F.lit(0).alias("low"), high.cast("int").alias("high"))
+
+
+def _links(documents: DataFrame, placed: DataFrame, width: int, like: Likeness, apart: bool) -> DataFrame:
+    """Links (a, b) between the sets that meet in blocks or, if `apart`, in pairs of blocks."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want, family, blocks = (np.asarray(column(batch, c)) for c in ("set_id", "family", "blocks"))
-            for low, high, data, starts in texts_of(batch, "text"):
-                sets, begin = distinct_shingles(data, starts, width)
-                ids = set_ids(sets, begin)
-                rows = []
-                for i in np.flatnonzero(ids == want[low:high]).tolist():
-                    g = int(blocks[low + i])
-                    own = int(np.uint64(ids[i] & 0x7FFFFFFFFFFFFFFF) % np.uint64(g))
-                    body = sets[begin[i] : begin[i + 1]].tobytes()
-                    rows += [(int(family[low + i]), min(own, j), max(own, j), own, int(ids[i]), body) for j in range(g)]
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["family", "one", "two", "own", "set_id", "body"])
+        return _shipped(batches, width, apart)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -427,13 +491,24 @@ def _links(documents: DataFrame, members: DataFrame, width: int, like: Likeness)
                 a, b = [], []
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    members = stored(members.withColumnRenamed("doc_id", "member"), "members")
-    texts = _only(documents, members).join(members, F.col("doc_id").eqNullSafe(F.col("member"))).select("text", "set_id", "family", "blocks")
+    members = placed.withColumnRenamed("doc_id", "member")
+    texts = _only(documents, members).join(members, F.col("doc_id").eqNullSafe(F.col("member"))).select("text", "set_id", "family", "own", "low", "high")
     blocks = texts.mapInArrow(ship, "family bigint, one int, two int, own int, set_id bigint, body binary")
     # A text may be there more than once where a key is.
     return blocks.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "set_id").mapInArrow(join, "a bigint, b bigint")
 
 
+def _connected(documents: DataFrame, members: DataFrame, width: int, like: Likeness) -> DataFrame:
+    """(node, label) for the sets of families that are linked with others; members has (doc_id, set_id, n, family)."""
+    placed = stored(_placed(members), "placed")
+    classes = components(_links(documents, placed, width, like, False))
+    rest = stored(_placed_again(placed, classes), "rest")
+    if rest.isEmpty():
+        return classes
+    across = _links(documents, rest, width, like, True)
+    return components(across.unionByName(classes.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+
 def join_groups(documents: DataFrame, width: int = 5, part: int = 75, of: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row (doc_id, n_shingles, set_id, component_id) per document.
 
@@ -456,10 +531,7 @@ def join_groups(documents: DataFrame, width: int = 5, part: int = 75, of: int =
     families = components(_candidates(entries, like))
     nodes = stored(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "nodes")
     members = nodes.join(families.withColumnRenamed("node", "set_id").withColumnRenamed("label", "family"), "set_id")
-    members = stored(members, "members")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("sets")).where("sets > 1").select("family", "blocks")
-    members = members.join(blocks, "family").select("doc_id", "set_id", "family", "blocks")
-    found = components(_links(slim, members, width, like)).withColumnRenamed("node", "set_id")
+    found = _connected(slim, stored(members, "members"), width, like).withColumnRenamed("node", "set_id")
     classes = nodes.join(found, "set_id", "left").select("set_id", "doc_id", F.coalesce("label", "set_id").alias("class"))
     smallest = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return sets.join(classes.join(smallest, "class").select("set_id", "component_id"), "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))

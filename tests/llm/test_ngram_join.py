@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from poolframe.llm import components, ngram_join
@@ -87,3 +88,41 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[40] == 37 and got[100] == 1 and got[1] == 1
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_go_to_blocks_in_bounded_batches(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(1004))
+    data = np.frombuffer(text.encode(), np.uint8)
+    sets, begin = ngram_join.distinct_shingles(data, np.array([0, len(data)]))
+    name = int(ngram_join.set_ids(sets, begin)[0])
+    row = pa.record_batch([pa.array([text]), pa.array([name]), pa.array([1]), pa.array([3]), pa.array([0]), pa.array([500])], names=["text", "set_id", "family", "own", "low", "high"])
+    monkeypatch.setattr(ngram_join, "SHIP_BYTES", 50_000)
+    for apart in (False, True):
+        made = list(ngram_join._shipped(iter([row]), 5, apart))
+        assert len(sets) == 1000 and sum(b.num_rows for b in made) == 500
+        assert max(sum(len(x.as_py()) for x in b.column(5)) for b in made) < 50_000 + 8_000 + 1
+        want = [(min(3, j), max(3, j), 3) if apart else (j, j, j) for j in range(500)]
+        assert [tuple(r[k] for k in ("one", "two", "own")) for b in made for r in b.to_pylist()] == want
+
+
+def test_copies_grow_with_a_family_not_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 1000)
+    members = spark.range(4000).selectExpr("id AS doc_id", "xxhash64(id) AS set_id", "50L AS n", "7L AS family")
+    placed = ngram_join._placed(members).cache()
+    assert placed.count() == 4000 and placed.agg({"blocks": "max"}).first()[0] == 200
+    assert placed.selectExpr("sum(high - low)").first()[0] < 3 * 4000
+    label = lambda *own: members.selectExpr("set_id AS node", "CASE " + " ".join(f"WHEN doc_id = {k} THEN {k}" for k in own) + " ELSE -1L END AS label")
+    assert ngram_join._placed_again(placed, label(-5)).isEmpty()
+    again = ngram_join._placed_again(placed, label(1, 2, 3))
+    assert again.count() == 4000 and again.selectExpr("sum(high - low)").first()[0] < 2 * 4000
+    two = ngram_join._placed(spark.createDataFrame([(1, 11, 1 << 25, 7), (2, 12, 1 << 25, 7)], "doc_id long, set_id long, n long, family long")).collect()
+    assert [(r.blocks, r.high - r.low) for r in two] == [(1, 1), (1, 1)]
+
+
+def test_many_blocks_and_classes_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 400)
+    monkeypatch.setattr(ngram_join, "STANDARDS", 1)
+    monkeypatch.setattr(ngram_join, "_ranks", lambda sketch: np.where(sketch > 3, 3, 0).astype(np.int8))
+    texts = corpus(23, 300)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_groups(docs).collect()} == brute(texts)

@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes, and a chunk ends where it meets a condition. So the ends
 depend on the last bytes alone: a passage has the same chunks wherever it stands, but for
-the first and last. Chunks with equal digests are repeats; enough of them in a row are a
-repeated passage.
+the first and last. From each chunk on, as many chunks as make enough words are a window.
+Windows with equal digests are a passage that stands in both texts in one piece.
 """
 
 from __future__ import annotations
@@ -29,21 +29,25 @@ def chunk_ends(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where chunks of texts end (texts' ends among them): between code points only.
 
     The hash at a byte is that of the 16 bytes up to it. It must be below a bound for a
-    chunk to end there, with no such byte among the last LEAST.
+    chunk to end there, with no such byte among the last LEAST. No byte of another text counts.
     """
     if not len(data):
         return np.zeros(0, np.int64)
-    hashed = GEAR[data]
+    # Texts stand 16 empty places apart, as many as the hash looks back.
+    at = np.arange(len(data)) + 16 * np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    hashed = np.zeros(int(at[-1]) + 1, np.uint32)
+    hashed[at] = GEAR[data]
     for step in (1, 2, 4, 8):
         before = np.zeros_like(hashed)
         before[step:] = hashed[:-step] << np.uint32(step)
         hashed = hashed + before
     # Bits from 12 up are those that the window has mixed, bytes beyond it don't reach below 16.
     low = (hashed & np.uint32(0xFFFF)) * np.uint32(0x9E35) & np.uint32(0xFFFF)
-    meets = low < np.uint32(0x10000 // ONE_IN)
+    meets = np.zeros(len(low), bool)
+    meets[at] = low[at] < np.uint32(0x10000 // ONE_IN)
     near = np.cumsum(meets)
     near = near - np.concatenate([np.zeros(LEAST, near.dtype), near[:-LEAST]])[: len(near)] if len(near) > LEAST else near
-    cut = meets & (near == 1)
+    cut = (meets & (near == 1))[at]
     cut[:-1] &= (data[1:] & 0xC0) != 0x80
     ends = np.zeros(len(data) + 1, bool)
     ends[1:] = cut
@@ -61,6 +65,30 @@ def chunks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, span_hashes(data, first, ends, False).view(np.int64), text
 
 
+def windows(data: np.ndarray, starts: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks' first bytes and texts; for each the last chunk and the digest of the window that it begins.
+
+    A window is as many chunks as have `least_words` words, parts of words included; where a
+    text has no such number left, its last chunk is -1.
+    """
+    first, digest, own = chunks(data, starts)
+    if not len(first):
+        return first, own, first, digest
+    ends = np.append(first[1:], len(data))
+    inside = ~SEPARATORS[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[starts[:-1][np.diff(starts) > 0]] = inside[starts[:-1][np.diff(starts) > 0]]
+    before = np.concatenate([[0], np.cumsum(begins)])
+    wanted = before[first] + least_words - (inside[first] & ~begins[first])
+    last = np.maximum(np.searchsorted(before[ends], wanted), np.arange(len(first)))
+    whole = last < len(first)
+    whole[whole] = own[last[whole]] == own[whole]
+    digest = np.zeros(len(first), np.int64)
+    digest[whole] = span_hashes(data, first[whole], ends[last[whole]], False).view(np.int64)
+    return first, own, np.where(whole, last, -1), digest
+
+
 def repeated_spans(first: np.ndarray, last: np.ndarray, repeat: np.ndarray, data: np.ndarray, least_words: int) -> list[tuple[int, int]]:
     """Byte ranges of one text where chunks that are repeats follow each other over `least_words` words.
 
@@ -87,23 +115,24 @@ def remove_repeats(documents: DataFrame, least_words: int = 12, text: str = "tex
     """The documents with repeated passages cut from their texts.
 
     Adds n_removed (bytes cut) and removed (their ranges in the UTF-8 of the text as it
-    was, as an array of structs low, high); columns of these names are replaced. A chunk is
-    a repeat if a document of smaller key has it, or the document itself further up. So one
-    copy of a passage stays. Runs of repeats of fewer than `least_words` words stay as well:
-    phrases and short common lines. A repeated passage loses the first and last chunk of
-    each run at most; one of more than 50 words is found but for about one in a hundred
-    whose chunks happen to be few.
+    was, as an array of structs low, high); columns of these names are replaced. A window of
+    at least `least_words` words is a repeat if one document of smaller key has all of it in one
+    piece, or the document itself further up. So one copy of a passage stays. Repeats of fewer
+    words stay as well: phrases and short common lines, also where several from different
+    documents stand in a row. Of a repeated passage what lies before its first chunk and after
+    its last whole window stays: some chunks at most. One of more than 50 words may escape if its
+    chunks happen to be few.
 
     Null texts stay null. Rows without a key stay as they are and count for nothing; rows of
-    one key count as one document. Digests have 64 bits; a false one can't make up a
-    run.
+    one key count as one document. Windows are told apart by 64-bit digests.
     """
     slim = documents.where(documents[key].isNotNull()).select(documents[key].alias("doc_id"), documents[text].alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, starts in texts_of(batch, "text"):
-                _, digest, own = chunks(data, starts)
+                _, own, last, digest = windows(data, starts, least_words)
+                digest, own = digest[last >= 0], own[last >= 0]
                 order = np.lexsort((digest, own))
                 new = np.ones(len(order), bool)
                 new[1:] = (np.diff(own[order]) != 0) | (np.diff(digest[order]) != 0)
@@ -124,18 +153,24 @@ def remove_repeats(documents: DataFrame, least_words: int = 12, text: str = "tex
             lists, has_key = column(batch, found), column(batch, key).is_valid().to_numpy(zero_copy_only=False)
             texts, removed, gone = [], [], []
             for low, high, data, starts in texts_of(batch, text):
-                first, digest, own = chunks(data, starts)
+                first, own, last, digest = windows(data, starts, least_words)
                 begin = np.searchsorted(own, np.arange(high - low + 1))
                 for i in range(high - low):
                     row, (a, b) = low + i, begin[i : i + 2]
                     body = data[starts[i] : starts[i + 1]]
                     spans: list[tuple[int, int]] = []
                     if has_key[row] and b > a:
-                        d = digest[a:b]
-                        repeat = np.ones(b - a, bool)
-                        repeat[np.unique(d, return_index=True)[1]] = False
+                        d, whole = digest[a:b], last[a:b] >= 0
+                        again = np.ones(b - a, bool)
+                        again[np.unique(d, return_index=True)[1]] = False
                         if lists[row].is_valid:
-                            repeat |= np.isin(d, lists[row].values.to_numpy())
+                            again |= np.isin(d, lists[row].values.to_numpy())
+                        again &= whole
+                        # A chunk goes if it lies in a window that is a repeat.
+                        edge = np.zeros(b - a + 1, np.int64)
+                        np.add.at(edge, np.flatnonzero(again), 1)
+                        np.add.at(edge, last[a:b][again] - a + 1, -1)
+                        repeat = np.cumsum(edge[:-1]) > 0
                         at = first[a:b] - starts[i]
                         spans = repeated_spans(at, np.append(at[1:], len(body)), repeat, body, least_words)
                     keep = np.ones(len(body), bool)

@@ -56,3 +56,28 @@ def test_repeats_within_a_text(spark):
     docs = spark.createDataFrame([(1, "\n".join([line] * 20))], "doc_id long, text string")
     (row,) = substring_dedup.remove_repeats(docs).collect()
     assert len(row.text) < 3 * len(line)
+
+
+def test_chunks_of_different_documents_are_no_passage(spark):
+    rng = random.Random(5)
+    clean = " ".join("".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9))) for _ in range(300))
+    data = np.frombuffer(clean.encode(), np.uint8)
+    ends = substring_dedup.chunk_ends(data, np.array([0, len(data)])).tolist()
+    # Each chunk of the text is in a document of its own, with what comes before it.
+    parts = [clean[max(0, low - 22) : high] for low, high in zip([0, *ends], ends, strict=False)]
+    parts = [x for x in parts if len(x.split()) < 12]
+    assert len(parts) > 20
+    docs = spark.createDataFrame([*enumerate(parts), (1000, clean), (1001, "before it " + clean)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got[1000].text == clean and got[1000].n_removed == 0
+    assert got[1001].n_removed > 0.8 * len(clean)
+
+
+def test_chunks_do_not_depend_on_the_text_before():
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefgh ", k=400)).encode()
+    alone = substring_dedup.chunk_ends(np.frombuffer(text, np.uint8), np.array([0, 400])).tolist()
+    for _ in range(40):
+        before = "".join(rng.choices("abcdefgh ", k=30)).encode()
+        both = substring_dedup.chunk_ends(np.frombuffer(before + text, np.uint8), np.array([0, 30, 430]))
+        assert [e - 30 for e in both.tolist() if e > 30] == alone

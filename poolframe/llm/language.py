@@ -21,6 +21,10 @@ from poolframe.llm.arrow import column, mix64, segment_sums, texts_of
 
 #: Lengths of n-grams, and the number of places that their hashes are thrown into.
 LENGTHS, PLACES = (1, 2, 3, 4), 1 << 13
+#: Bytes of a window. A longer text is cut in windows, as it would fill all PLACES.
+WINDOW = 1 << 12
+#: Windows that are worked on at a time, and those that a text of the training sample gives at most.
+AT_ONCE, LEARN = 512, 4
 
 _FACTORS = [np.uint32(f) for f in (2654435761, 2246822519, 3266489917, 668265263)]
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)).astype(np.uint32)
@@ -52,6 +56,26 @@ def presence(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last-plus-one byte of the windows of texts, and which text each is of.
+
+    A text's windows are equally long, at most WINDOW bytes, and reach as far into the next
+    as n-grams across their border do. An empty text has one, too.
+    """
+    n = np.diff(starts)
+    many = np.maximum(-(-n // WINDOW), 1)
+    text = np.repeat(np.arange(len(n)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    low = starts[text] + n[text] * k // many[text]
+    high = starts[text] + n[text] * (k + 1) // many[text]
+    return low, np.minimum(high + max(LENGTHS) - 1, starts[text + 1]), text
+
+
+def window_presence(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    parts = [data[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+    return presence(np.concatenate(parts) if parts else data[:0], np.concatenate([[0], np.cumsum(high - low)]).astype(np.int64))
+
+
 @dataclass
 class Model:
     """Landmarks as presence rows, their norms, and what their kernel values weigh for each language."""
@@ -65,6 +89,15 @@ class Model:
             return np.zeros((len(present), 0))
         return kernel(present, self.landmarks) @ self.weights
 
+    def text_scores(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Scores of whole texts: the mean of those of all of their windows, by length."""
+        low, high, text = windows(starts)
+        total, size = np.zeros((len(starts) - 1, len(self.languages))), np.maximum(high - low, 1)
+        for i in range(0, len(low), AT_ONCE):
+            at = slice(i, i + AT_ONCE)
+            np.add.at(total, text[at], self.scores(window_presence(data, low[at], high[at])) * size[at, None])
+        return total / np.bincount(text, size, len(starts) - 1)[:, None]
+
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shared n-grams by the geometric mean of both sides' numbers, by a product of matrices."""
@@ -96,7 +129,7 @@ def train(documents: DataFrame, learn: Column, per_language: int = 500, text: st
     """A model from up to `per_language` documents of each language, of those that meet `learn`.
 
     The sample is that with the smallest hashes of the key; from its tasks come presence
-    rows of PLACES bits, so the driver gets a number of bytes that these parameters bound.
+    rows of PLACES bits, of LEARN windows of a text at most, evenly spread over it.
     """
     rows = documents.where(learn & documents[language].isNotNull() & documents[text].isNotNull()).select(documents[key].alias("key"), documents[language].alias("lang"), documents[text].alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
@@ -105,8 +138,12 @@ def train(documents: DataFrame, learn: Column, per_language: int = 500, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, starts in texts_of(batch, "text", 1 << 18):
-                bits = np.packbits(presence(data, starts), axis=1)
-                yield pa.record_batch([column(batch, "lang").slice(low, high - low), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
+                first, last, own = windows(starts)
+                many = np.bincount(own, minlength=high - low)[own]
+                k = np.arange(len(own)) - np.searchsorted(own, own)
+                some = (many <= LEARN) | ((k + 1) * LEARN // many > k * LEARN // many)
+                bits = np.packbits(window_presence(data, first[some], last[some]), axis=1)
+                yield pa.record_batch([column(batch, "lang").slice(low, high - low).take(pa.array(own[some])), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
 
     # The sample's keys are few, whatever the size of the corpus.
     sample = rows.join(F.broadcast(taken), "key", "left_semi").select("lang", "text").mapInArrow(run, "lang string, bits binary").collect()
@@ -129,7 +166,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text", key: str = "
                 lettered = segment_sums(_ASCII_LETTERS[data].astype(np.int64), starts) > 0
                 for i in np.flatnonzero(~lettered & (np.diff(starts) > 0)).tolist():
                     lettered[i] = _LETTER.search(data[starts[i] : starts[i + 1]].tobytes().decode()) is not None
-                scores = model.scores(presence(data, starts))
+                scores = model.text_scores(data, starts)
                 if scores.shape[1]:
                     best = scores.argmax(1)
                     names = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]

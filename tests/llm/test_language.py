@@ -33,3 +33,30 @@ def test_learns_languages(spark):
     assert got[900].score == 0 and all(0 <= r.score <= 1 for r in got.values())
     assert language.predict(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in language.predict(docs, language.train(docs, F.lit(False))).collect()} == {"und"}
+
+
+def test_long_texts_keep_their_language(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    shares = {x: [rng.random() ** 3 + 0.02 for _ in letters] for x in ("aa", "bb", "cc")}
+
+    def text(x, n):
+        # All letters are in all languages, so a long text of any has nearly all n-grams.
+        body = rng.choices(letters, shares[x], k=n)
+        body[5::6] = " " * len(body[5::6])
+        return "".join(body)
+
+    rows = [(i, text(x, 300), x) for i in range(240) for x in [list(shares)[i % 3]]]
+    rows += [(1000 + i, text(x, 1_000_000), x) for i, x in enumerate(shares)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.train(docs, F.col("doc_id") < 1000)
+    got = {r.doc_id: r for r in language.predict(docs.where("doc_id >= 1000"), model).collect()}
+    assert [got[1000 + i].lang_pred for i in range(3)] == ["aa", "bb", "cc"]
+
+
+def test_windows_hold_all_ngrams():
+    text = bytes(random.Random(2).choices(range(97, 105), k=10_001))
+    data = np.frombuffer(text, np.uint8)
+    low, high, own = language.windows(np.array([0, 0, 10_001]))
+    assert own.tolist() == [0, 1, 1, 1] and low[1] == 0 and high[-1] == 10_001 and (high - low <= language.WINDOW + 3).all()
+    assert (language.window_presence(data, low, high).any(0) == language.presence(data, np.array([0, 10_001]))[0]).all()

@@ -5,23 +5,52 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, pre_tokenizers
 
 from poolframe.llm.arrow import column, texts_of
 
-#: Fixed value: the pattern that splits text into pre-tokens for this family of vocabularies.
-PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same for texts without `_UNUSUAL` bytes: there the faster `re` has these classes too.
-_PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
-_FULL = regex.compile(PRETOKEN)
+#: Fixed value: the pattern that splits text into pre-tokens for this family of vocabularies, as `re` has its
+#: classes in texts without `_UNUSUAL` bytes and in stand-ins (see `stand_ins`).
+_SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: Bytes of texts in which some code point may be of another class for the library than for `re`: control
+#: characters that only `re` has as spaces, U+0080 to U+00BF, and all from U+0240 on.
 _UNUSUAL = np.zeros(256, bool)
 _UNUSUAL[[*range(0x1C, 0x20), 0xC2, *range(0xC9, 0x100)]] = True
 
+
+@cache
+def stand_ins() -> np.ndarray:
+    """For every code point an ASCII one of the same class (letter, number, space, other), as the library has it.
+
+    ASCII stands for itself, but for control characters. Others are asked of the library's own
+    expressions: which tables of Unicode it has doesn't matter. No stand-in makes a contraction.
+    """
+    points = np.array([*range(0x80, 0xD800), *range(0xE000, 0x110000)])
+    text = "".join(map(chr, points.tolist()))
+
+    def spans(pattern: str, text: str) -> list[tuple[int, int]]:
+        return [at for _, at in pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str(text)]
+
+    alike = spans(r"\p{L}+|\p{N}+|\s+", text)
+    # Between marks that are of no class, what stands alone is a match.
+    firsts = "!".join(text[low] for low, _ in alike)
+    out = np.full(0x110000, ord("#"), np.uint8)
+    out[0x20:0x80] = np.arange(0x20, 0x80)
+    out[9:14] = ord("\t")
+    for pattern, stand_in in ((r"\p{L}", "z"), (r"\p{N}", "0"), (r"\s", "\t")):
+        for low, high in spans(pattern, firsts):
+            if low % 2 == 0 and high == low + 1:
+                a, b = alike[low // 2]
+                out[points[a:b]] = ord(stand_in)
+    return out
+
+
 _NONE = np.int32(2**31 - 1)
 
 
@@ -54,6 +83,7 @@ class Merger:
             rest = np.ones(len(left), bool)
             rest[first] = False
             left, rank, bits = left[rest], rank[rest], max(8, bits - 4)
+        self.stand_ins = stand_ins()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -106,14 +136,22 @@ class Merger:
         return symbols[order], np.concatenate([[0], np.cumsum(counts)])
 
 
-def pretokens(text: str, unusual: bool, special: dict[str, int]) -> list[str]:
+def split(text: str, stand_ins: np.ndarray | None) -> list[str]:
+    """The text cut where its stand-ins are; without a table, where it is itself."""
+    if stand_ins is None:
+        return _SPLIT.findall(text)
+    shown = stand_ins[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tobytes().decode("ascii")
+    ends = np.cumsum([len(t) for t in _SPLIT.findall(shown)]).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def pretokens(text: str, stand_ins: np.ndarray | None, special: dict[str, int]) -> list[str]:
     """The text's pre-tokens; a special string in it is one of its own, as the library has it by default."""
-    split = (_FULL if unusual else _PLAIN).findall
     if not any(mark in text for mark in special):
-        return split(text)
+        return split(text, stand_ins)
     out: list[str] = []
     for part in re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text):
-        out += [part] if part in special else split(part)
+        out += [part] if part in special else split(part, stand_ins)
     return out
 
 
@@ -160,7 +198,7 @@ class Encoder:
         tokens: list[str] = []
         ends = [0]
         for a, b, u in zip(starts[:-1].tolist(), starts[1:].tolist(), unusual.tolist(), strict=True):
-            tokens += pretokens(data[a:b].tobytes().decode(), u, self.merger.special)
+            tokens += pretokens(data[a:b].tobytes().decode(), self.merger.stand_ins if u else None, self.merger.special)
             ends.append(len(tokens))
         at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
         self._learn()

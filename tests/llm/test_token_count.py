@@ -36,3 +36,29 @@ def test_ids_as_the_library(library):
         data = np.frombuffer(text.encode(), np.uint8)
         ids, _ = encoder.encode(data, np.array([0, len(data)]))
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_code_point_as_the_library(library):
+    """Every code point after and before a letter, a number, another sign, a space and a contraction."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    table = token_count.stand_ins()
+    for low in range(0, len(points), 1 << 16):
+        text = "".join(f"a{c}1{c}!{c}'ll{c} {c}" for c in map(chr, points[low : low + (1 << 16)]))
+        want = [at for _, at in library.pre_tokenizer.pre_tokenize_str(text)]
+        ends = [0]
+        for t in token_count.split(text, table):
+            ends.append(ends[-1] + len(t))
+        assert want == list(zip(ends[:-1], ends[1:], strict=True)), hex(points[low])
+
+
+def test_usual_texts_need_no_table(library):
+    points = [c for c in range(0x240) if not token_count._UNUSUAL[list(chr(c).encode())].any()]
+    text = "".join(f"a{c}1{c}!{c}'ll{c} {c}" for c in map(chr, points))
+    want = [at[1] - at[0] for _, at in library.pre_tokenizer.pre_tokenize_str(text)]
+    assert want == [len(t) for t in token_count.split(text, None)]
+
+
+def test_other_columns_are_left_alone(spark):
+    docs = spark.createDataFrame([(1, "one two", 5, "x"), (1, "one two", 5, "x"), (2, "\u0c9c'll", 7, "y")], "doc_id long, text string, n_tokens long, key string")
+    got = sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(docs, VOCABULARY).collect())
+    assert got[:2] == [(1, 2), (1, 2)] and len(got) == 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,32 +15,50 @@ from poolframe.llm.arrow import column, texts_of
 from poolframe.llm.token_count import Encoder, Merger
 
 
-def assign(lengths: np.ndarray, room: np.ndarray, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
-    """Pieces (document, start, length, sequence) that fill sequences with `room` tokens each.
+def assign(lengths: np.ndarray, room: np.ndarray, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Pieces (stretch, start, length, sequence) that fill sequences with `room` tokens each, and
+    what is left when all are full, as (stretch, start).
 
-    The rooms' sum is at least that of the lengths. Documents come in descending length
-    (ties as given), each goes to the sequence of lowest estimated cost among those that
-    have room for all of it; where none has, it is cut over those of lowest cost that have
-    any. A piece of n tokens costs linear * n + quadratic * n * n.
+    Stretches come in descending length (ties as given), each goes to the sequence of lowest
+    estimated cost among those that have room for all of it, the first of equal ones; where none has,
+    it is cut over those of lowest cost that have any. A piece of n tokens costs
+    linear * n + quadratic * n * n.
     """
-    room, cost, out = room.copy(), np.zeros(len(room)), []
+    room, cost, out, over = room.copy(), np.zeros(len(room)), [], []
     for d in np.argsort(-lengths, kind="stable").tolist():
         start, rest = 0, int(lengths[d])
         while rest:
             fits = room >= rest
-            at = int(np.argmin(np.where(fits if fits.any() else room > 0, cost, np.inf)))
+            if not fits.any():
+                fits = room > 0
+            if not fits.any():
+                over.append((d, start))
+                break
+            at = int(np.argmin(np.where(fits, cost, np.inf)))
             n = min(rest, int(room[at]))
             out.append((d, start, n, at))
             room[at] -= n
             cost[at] += linear * n + quadratic * n * n
             start, rest = start + n, rest - n
-    return out
+    return out, over
 
 
-def rooms(tokens: int, length: int) -> np.ndarray:
-    """Full sequences for the tokens, and powers of two for what is left: none needs padding."""
-    left = tokens % length
-    return np.array([length] * (tokens // length) + [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1], np.int64)
+def powers(tokens: int) -> np.ndarray:
+    """The powers of two that make up a number, the largest first."""
+    return np.array([1 << k for k in range(tokens.bit_length() - 1, -1, -1) if tokens >> k & 1], np.int64)
+
+
+@dataclass
+class Stretch:
+    """Ids of a document from `start` on, at most a sequence's length."""
+
+    key: object
+    start: int
+    whole: int
+    ids: np.ndarray
+
+    def rest(self, start: int) -> Stretch:
+        return Stretch(self.key, self.start + start, self.whole, self.ids[start:])
 
 
 def pack(
@@ -59,11 +78,12 @@ def pack(
     Returns a row per piece: `key`, start, length, ids_crc32 (of little-endian unsigned
     32-bit ids), doc_tokens, sequence_id, offset, and with `with_ids` the piece's ids.
     A document's ids are those of its whole text and `end_id`; null and empty texts have
-    that one alone. Stretches of `length` are sequences of their own; what is left of each
-    document is packed in blocks of about `block_tokens` within its partition, so nothing
-    is shuffled, and a lost task is made again alike. The last tokens of a block fill
-    sequences of powers of two, so none is padded. Rows with equal or null keys are
-    documents of their own; other columns are not read.
+    that one alone. A document is cut in stretches of `length` and what is left, and all of
+    these are assigned by cost (see `assign`), in blocks of about `block_tokens` within a partition,
+    so nothing is shuffled, and a lost task is made again alike. A block fills whole
+    sequences; what is left, less than one, goes on to the next block. Only the last tokens of a
+    partition fill sequences of powers of two, so none is padded. Rows with equal or null
+    keys are documents of their own; other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(Merger(vocabulary))
 
@@ -71,31 +91,22 @@ def pack(
         encoder = Encoder(shared.value)
         sequence = TaskContext.get().partitionId() << 36
         kind = None
-        keys: list = []
-        kept: list[np.ndarray] = []
-        held = 0
+        held: list[Stretch] = []
         rows: list[tuple] = []
         bodies: list[np.ndarray] = []
 
-        def emit(d: int, ids: np.ndarray, start: int, whole: int, at: int, offset: int) -> None:
-            rows.append((keys[d], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, at, offset))
-            if with_ids:
-                bodies.append(ids)
-
-        def flush() -> None:
-            nonlocal sequence, keys, kept, held
-            tails = [ids[len(ids) // length * length :] for ids in kept]
-            room = rooms(sum(map(len, tails)), length)
+        def flush(room: np.ndarray) -> None:
+            nonlocal sequence, held
             filled = np.zeros(len(room), np.int64)
-            for d, start, n, at in assign(np.array([len(t) for t in tails], np.int64), room, linear, quadratic):
-                emit(d, tails[d][start : start + n], len(kept[d]) - len(tails[d]) + start, len(kept[d]), sequence + at, int(filled[at]))
+            pieces, over = assign(np.array([len(x.ids) for x in held], np.int64), room, linear, quadratic)
+            for d, start, n, at in pieces:
+                x, ids = held[d], held[d].ids[start : start + n]
+                rows.append((x.key, x.start + start, n, zlib.crc32(ids.astype("<u4").tobytes()), x.whole, sequence + at, int(filled[at])))
+                if with_ids:
+                    bodies.append(ids)
                 filled[at] += n
             sequence += len(room)
-            for d, ids in enumerate(kept):
-                for start in range(0, len(ids) // length * length, length):
-                    emit(d, ids[start : start + length], start, len(ids), sequence, 0)
-                    sequence += 1
-            keys, kept, held = [], [], 0
+            held = [held[d].rest(start) for d, start in over]
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -111,14 +122,15 @@ def pack(
             kind = column(batch, "key").type
             for low, high, data, starts in texts_of(batch, "text", 1 << 20):
                 ids, begin = encoder.encode(data, starts)
-                keys += column(batch, "key").slice(low, high - low).to_pylist()
-                for a, b in zip(begin[:-1], begin[1:], strict=True):
-                    kept.append(np.append(ids[a:b], np.int32(end_id)))
-                    held += int(b - a) + 1
-                if held >= block_tokens:
-                    flush()
+                for name, a, b in zip(column(batch, "key").slice(low, high - low).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    own = np.append(ids[a:b], np.int32(end_id))
+                    held += [Stretch(name, at, len(own), own[at : at + length]) for at in range(0, len(own), length)]
+                tokens = sum(len(x.ids) for x in held)
+                if tokens >= block_tokens:
+                    flush(np.full(tokens // length, length, np.int64))
                     yield out()
-        flush()
+        tokens = sum(len(x.ids) for x in held)
+        flush(np.concatenate([np.full(tokens // length, length, np.int64), powers(tokens % length)]))
         if rows:
             yield out()
 

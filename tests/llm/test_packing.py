@@ -47,8 +47,50 @@ def test_repeats_and_nulls(spark):
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
 
 
+def naive(lengths, room, linear, quadratic):
+    """The rule, word for word."""
+    state, out = [[r, 0.0] for r in room], []
+    for d in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start, rest = 0, lengths[d]
+        while rest and any(r for r, _ in state):
+            able = [s for s, (r, _) in enumerate(state) if r >= rest] or [s for s, (r, _) in enumerate(state) if r]
+            at = min(able, key=lambda s: (state[s][1], s))
+            n = min(rest, state[at][0])
+            out.append((d, start, n, at))
+            state[at][0] -= n
+            state[at][1] += linear * n + quadratic * n * n
+            start, rest = start + n, rest - n
+    return out
+
+
+def test_lowest_cost_is_taken():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = rng.integers(1, 2049, rng.integers(1, 40))
+        total = int(lengths.sum())
+        for room in (np.full(total // 2048, 2048), np.concatenate([np.full(total // 2048, 2048), packing.powers(total % 2048)])):
+            got, over = packing.assign(lengths, room, 1.0, 1 / 1024)
+            assert got == naive(lengths.tolist(), room.tolist(), 1.0, 1 / 1024)
+            assert sum(int(lengths[d]) - start for d, start in over) == total - int(room.sum())
+
+
 def test_costs_are_balanced():
-    lengths = np.array([1000, 900, 800, 700, 300, 300, 96])
-    room = packing.rooms(int(lengths.sum()), 2048)
-    out = packing.assign(lengths, room, 1.0, 1 / 1024)
-    assert sorted(sum(n for *_, n, at in out if at == s) for s in range(len(room))) == sorted(room.tolist())
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(20, 600, 400)
+    room = np.full(int(lengths.sum()) // 2048, 2048)
+    got, _ = packing.assign(lengths, room, 1.0, 1 / 1024)
+    cost = np.zeros(len(room))
+    for _, _, n, at in got:
+        cost[at] += n + n * n / 1024
+    assert cost.max() / cost.mean() < 1.1
+
+
+def test_remainders_go_on_to_the_next_block(spark):
+    texts = {i: "some words of a text " * (i % 40) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, VOCABULARY, length=64, block_tokens=200).collect()
+    check(rows, texts, 64)
+    ends = {}
+    for r in rows:
+        ends[r.sequence_id] = max(ends.get(r.sequence_id, 0), r.offset + r.length)
+    assert sum(e < 64 for e in ends.values()) <= 6

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolframe.llm.store import fresh_path
+from poolframe.llm.store import fresh_path, join_counted, stored
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -19,7 +19,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _BASE32_OF_HEX = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
-RECORDS_PER_FILE = 10_000
+#: Bytes of pages that a file holds about, and the most captures in it.
+FILE_BYTES, RECORDS_PER_FILE = 1 << 27, 10_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -47,8 +48,12 @@ def captures(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url:
     """A row (text) for each page: its response or revisit record, its request and its metadata.
 
     Of pages with one payload of at least `least_bytes` bytes the one with the smallest key
-    holds it, the others revisit that; smaller payloads are all held. Pages without a
-    key revisit any that has one.
+    holds it, the others revisit that; smaller payloads are all held. Rows that repeat the smallest
+    key all hold it. Pages without a key revisit any that has one. Every row is a capture of its own, repeated rows
+    too: a record's id is of the page and of where its row is.
+
+    Payloads are told apart by digests, and only digests that several pages have are joined to pages; a
+    payload that very many pages have is broadcast (see `join_counted`). Partitions hold about FILE_BYTES.
     """
     made = pages.select(
         pages[key].alias("page_id"),
@@ -56,11 +61,15 @@ def captures(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url:
         F.regexp_replace(F.coalesce(pages[url], F.lit("")), r"[\x00-\x20\x7F]+", "%20").alias("url"),
         F.coalesce(pages[html], F.lit("")).alias("html"),
     ).withColumns({"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html")})
-    firsts = made.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("least"))
-    joined = made.join(firsts, made.digest == firsts.of, "left")
-    again = F.coalesce((F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("least")), F.lit(False))
-    joined = joined.withColumn("again", again)
-    own = _record_id(F.col("page_id"), F.col("url"), F.col("digest"))
+    digests = stored(made.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "digests")
+    n, size = digests.agg(F.sum("n"), F.sum("bytes")).first()
+    several = digests.where(F.col("n") > 1).select("digest", "least", "n")
+    files = -(-(size or 0) // FILE_BYTES)
+    usual = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = join_counted(made, several, "digest", "n", n or 0, files if files > usual else 0)
+    again = (F.col("bytes") >= least_bytes) & F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
+    joined = joined.withColumns({"again": again, "place": F.monotonically_increasing_id()})
+    own = _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("place"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     main = _record(
@@ -222,8 +231,7 @@ def page_rows(assembled: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every capture.
 
     A revisit has the size of the payload that it refers to, the response of equal digest
-    with the smallest page_id. Of pages repeated with one key, address and payload there is
-    one capture.
+    with the smallest page_id.
     """
     flat = assembled.select(
         F.element_at("metadata.fields", "page-id").cast("bigint").alias("page_id"),
@@ -231,8 +239,10 @@ def page_rows(assembled: DataFrame) -> DataFrame:
         F.coalesce("main.payload_digest", "main.digest").alias("payload_digest"),
         F.col("main.payload_bytes").alias("own_bytes"),
     )
-    held = flat.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("of")).agg(F.min("page_id").alias("holder"), F.max("own_bytes").alias("bytes"))
-    joined = flat.join(held, flat.payload_digest == held.of, "left")
+    flat = stored(flat, "captures")
+    holder = F.min(F.when(F.col("record_type") == "response", F.col("page_id"))).alias("holder")
+    held = flat.where("payload_digest IS NOT NULL").groupBy("payload_digest").agg(holder, F.max("own_bytes").alias("bytes"), F.count("*").alias("n")).where("n > 1")
+    joined = join_counted(flat, stored(held, "held"), "payload_digest", "n", flat.count())
     return joined.select("page_id", F.coalesce("own_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("holder")).alias("refers_to"))
 
 

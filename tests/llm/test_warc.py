@@ -49,9 +49,20 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_repeated_pages_are_one(spark):
-    pages = spark.createDataFrame([PAGES[0]] * 3 + [PAGES[1]], SCHEMA)
-    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == [1, 3]
+def test_repeated_pages_are_captures_of_their_own(spark):
+    pages = [PAGES[0]] * 3 + [PAGES[1]] * 2 + [PAGES[3]] * 2
+    got = sorted(warc.round_trip(spark.createDataFrame(pages, SCHEMA).repartition(2)).select("page_id", "record_type", "refers_to").collect())
+    # Rows that repeat the smallest key of a payload all hold it.
+    assert [tuple(r) for r in got] == [(1, "response", None)] * 2 + [(3, "revisit", 1)] * 3 + [(7, "response", None)] * 2
+
+
+def test_a_payload_of_most_pages(spark, monkeypatch):
+    from poolframe.llm import store
+
+    monkeypatch.setattr(store, "HOT_KEYS", 3)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4)
+    pages = [(i, f"http://{i}", "<p>error</p>" if i % 2 else f"<p>{i // 4}</p>", "d", 1) for i in range(60)]
+    assert rows(warc.round_trip(spark.createDataFrame(pages, SCHEMA))) == expected(pages)
 
 
 def test_nested_captures(spark):

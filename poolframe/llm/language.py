@@ -15,9 +15,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from poolframe.llm.arrow import column, mix64, segment_sums, texts_of
+from poolframe.llm.sampling import smallest
 
 #: Lengths of n-grams, and the number of places that their hashes are thrown into.
 LENGTHS, PLACES = (1, 2, 3, 4), 1 << 13
@@ -125,15 +125,20 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = 96, ridge: float =
     return Model(languages, marks, (root @ solved).astype(np.float32))
 
 
-def train(documents: DataFrame, learn: Column, per_language: int = 500, text: str = "text", language: str = "lang", key: str = "doc_id") -> Model:
-    """A model from up to `per_language` documents of each language, of those that meet `learn`.
+def train(documents: DataFrame, learn: Column, per_language: int = 500, most: int = 20_000, text: str = "text", language: str = "lang", key: str = "doc_id") -> Model:
+    """A model from up to `per_language` documents of each language, of those that meet `learn`, and `most` in all.
 
-    The sample is that with the smallest hashes of the key; from its tasks come presence
-    rows of PLACES bits, of LEARN windows of a text at most, evenly spread over it.
+    The sample is that with the smallest hashes of the key; of rows with one key and language one counts. From
+    its tasks come presence rows of PLACES bits, of LEARN windows of a text at most, evenly spread
+    over it. More languages than `most` are an error.
     """
     rows = documents.where(learn & documents[language].isNotNull() & documents[text].isNotNull()).select(documents[key].alias("key"), documents[language].alias("lang"), documents[text].alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    taken = rows.select("key", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("key").distinct()
+    languages = rows.select("lang").distinct().count()
+    if languages > most:
+        raise ValueError(f"{languages} languages, {most} documents are to be learnt from")
+    # What it is joined with is as many rows as the sample at most.
+    taken = smallest(rows.select("key", "lang").distinct(), "lang", "key", min(per_language, most // max(languages, 1)))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,13 +148,14 @@ def train(documents: DataFrame, learn: Column, per_language: int = 500, text: st
                 k = np.arange(len(own)) - np.searchsorted(own, own)
                 some = (many <= LEARN) | ((k + 1) * LEARN // many > k * LEARN // many)
                 bits = np.packbits(window_presence(data, first[some], last[some]), axis=1)
-                yield pa.record_batch([column(batch, "lang").slice(low, high - low).take(pa.array(own[some])), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
-
-    # The sample's keys are few, whatever the size of the corpus.
-    sample = rows.join(F.broadcast(taken), "key", "left_semi").select("lang", "text").mapInArrow(run, "lang string, bits binary").collect()
-    sample.sort(key=lambda r: (r.lang, bytes(r.bits)))
-    bits = np.frombuffer(b"".join(bytes(r.bits) for r in sample), np.uint8).reshape(len(sample), PLACES // 8)
-    return fit(np.unpackbits(bits, axis=1).astype(bool), [r.lang for r in sample])
+                begin = np.searchsorted(own[some], np.arange(high - low + 1))
+                bodies = [bits[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.record_batch([column(batch, c).slice(low, high - low) for c in ("key", "lang")] + [pa.array(bodies, pa.binary())], names=["key", "lang", "bits"])
+
+    sampled = rows.join(F.broadcast(taken), ["key", "lang"], "left_semi").mapInArrow(run, f"key {kind}, lang string, bits binary")
+    sample = sorted((r.lang, bytes(r.bits)) for r in sampled.groupBy("key", "lang").agg(F.min("bits").alias("bits")).collect())
+    bits = np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(-1, PLACES // 8)
+    return fit(np.unpackbits(bits, axis=1).astype(bool), [x for x, b in sample for _ in range(len(b) * 8 // PLACES)])
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

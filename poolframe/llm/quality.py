@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from poolframe.llm.arrow import column, segment_sums, span_hashes, texts_of, words
 from poolframe.llm.language import remainder
+from poolframe.llm.sampling import smallest
+from poolframe.llm.store import stored
 
 #: Where the ranges of each measure of a line are cut; a line has one feature of each measure.
 EDGES = {
@@ -160,65 +161,88 @@ def marginals(scores: np.ndarray, begin: np.ndarray, steps: np.ndarray) -> tuple
     return both[:, 1] / both.sum(1), pair, log
 
 
+def flat(field: Field) -> np.ndarray:
+    return np.concatenate([field.weights.ravel(), [field.bias], field.steps.ravel()])
+
+
+def unflat(value: np.ndarray) -> Field:
+    return Field(value[: 3 * FEATURES].reshape(3, FEATURES), float(value[3 * FEATURES]), np.clip(value[-4:].reshape(2, 2), -8, 8))
+
+
+def gradient(field: Field, codes: np.ndarray, begin: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of lines' labels, by the field's numbers in the order of `flat`: what is seen less what is expected."""
+    first = np.zeros(len(codes), bool)
+    first[begin[:-1]] = True
+    inner = ~first
+    own, pair, _ = marginals(field.scores(codes, begin), begin, field.steps)
+    before = np.concatenate([[0], label[:-1]])
+    seen = np.array([[((before == a) & (label == b) & inner).sum() for b in (0, 1)] for a in (0, 1)], float)
+    off = label - own
+    # A line's codes weigh for the line after it as `before`, for the line before it as `after`.
+    of_next = np.append(np.where(first[1:], 0, off[1:]), 0)
+    of_last = np.where(first, 0, np.concatenate([[0], off[:-1]]))
+    width = codes.shape[1]
+    return np.concatenate(
+        [
+            np.bincount(codes.ravel(), np.repeat(off, width), minlength=FEATURES),
+            np.bincount(codes.ravel(), np.repeat(of_next, width), minlength=FEATURES),
+            np.bincount(codes.ravel(), np.repeat(of_last, width), minlength=FEATURES),
+            [off.sum()],
+            (seen - pair[inner].sum(0)).ravel(),
+        ]
+    )
+
+
 def fit(codes: np.ndarray, begin: np.ndarray, good: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 2e-3) -> Field:
     """The field that makes the labels of lines (each its text's) likeliest, by gradient steps on the mean log-likelihood."""
     label = np.repeat(good.astype(float), np.diff(begin))
-    n, texts = len(codes), max(1, len(begin) - 1)
-    first = np.zeros(n, bool)
-    first[begin[:-1]] = True
-    field = Field(np.zeros((3, FEATURES)), 0.0, np.zeros((2, 2)))
     value = np.zeros(3 * FEATURES + 5)
-    mean, square = np.zeros_like(value), np.zeros_like(value)
-    seen = np.zeros((2, 2))
-    inner = ~first
-    if n > 1:
-        before = np.concatenate([[0], label[:-1]])
-        for a in (0, 1):
-            for b in (0, 1):
-                seen[a, b] = ((before == a) & (label == b) & inner).sum()
+    field, mean, square = unflat(value), np.zeros_like(value), np.zeros_like(value)
     for step in range(1, rounds + 1):
-        own, pair, _ = marginals(field.scores(codes, begin), begin, field.steps)
-        off = label - own
-        to_next, to_last = np.where(first, 0, off), np.append(np.where(first[1:], 0, off[:-1]), 0)
-        gradient = np.concatenate(
-            [
-                np.bincount(codes.ravel(), np.repeat(off, codes.shape[1]), minlength=FEATURES),
-                np.bincount(codes[:-1].ravel(), np.repeat(to_next[1:], codes.shape[1]), minlength=FEATURES),
-                np.bincount(codes[1:].ravel(), np.repeat(to_last[:-1], codes.shape[1]), minlength=FEATURES),
-                [off.sum()],
-                (seen - pair[inner].sum(0)).ravel(),
-            ]
-        )
-        gradient = gradient / texts - decay * value
-        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
+        up = gradient(field, codes, begin, label) / max(1, len(begin) - 1) - decay * value
+        mean, square = 0.9 * mean + 0.1 * up, 0.99 * square + 0.01 * up**2
         value = value + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        field = Field(value[: 3 * FEATURES].reshape(3, FEATURES), float(value[3 * FEATURES]), np.clip(value[-4:].reshape(2, 2), -8, 8))
+        field = unflat(value)
     return field
 
 
-def train(documents: DataFrame, labels: DataFrame, learn: Column, per_label: int = 1500, most_lines: int = 1000, text: str = "text", key: str = "doc_id", label: str = "quality") -> Field:
+def train(
+    documents: DataFrame, labels: DataFrame, learn: Column, per_label: int = 1500, most_lines: int = 150_000, longest: int = 2000, text: str = "text", key: str = "doc_id", label: str = "quality"
+) -> Field:
     """A field from labelled documents that meet `learn` (of the labels' key): up to `per_label` of
-    each label, those with the smallest hashes of the key, and of each the first `most_lines` lines.
+    each label, those with the smallest hashes of the key, with all of their lines.
 
-    Only the codes of their lines' features go to the driver: the parameters bound them.
-    Rows without a label are left out. Without any labelled row every line is good with
-    probability a half.
+    The sample's bounds choose documents, never parts of them: of each label they have `most_lines`
+    lines together at most (documents that don't fit in any more are passed over), and none has more than `longest`.
+    Of rows with one key one counts, that with the fewest lines. Only the codes of the sample's
+    features go to the driver. Rows without a label are left out. Without any labelled row every line is
+    good with probability a half.
     """
     marked = labels.where(learn & labels[label].isNotNull() & labels[key].isNotNull()).select(labels[key].alias("key"), labels[label].cast("int").alias("good"))
-    order = Window.partitionBy("good").orderBy(F.xxhash64("key"), "key")
-    taken = marked.groupBy("key").agg(F.max("good").alias("good")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("key", "good")
-    rows = documents.select(documents[key].alias("key"), documents[text].alias("text")).join(F.broadcast(taken), "key").select("text", "good")
+    taken = smallest(marked.groupBy("key").agg(F.max("good").alias("good")), "good", "key", per_label)
+    rows = documents.select(documents[key].alias("key"), documents[text].alias("text")).join(F.broadcast(taken), "key").select("key", "good", "text")
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, starts in texts_of(batch, "text"):
                 codes, _, begin = lines(data, starts)
-                bodies = [codes[a : min(b, a + most_lines)].astype(np.uint8).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.record_batch([column(batch, "good").slice(low, high - low), pa.array(bodies, pa.binary())], names=["good", "codes"])
-
-    sample = sorted((bytes(r.codes), r.good) for r in rows.mapInArrow(run, "good int, codes binary").collect())
-    if not sample:
+                n = np.diff(begin)
+                bodies = [codes[a:b].astype(np.uint8).tobytes() if b - a <= longest else None for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.record_batch([column(batch, "key").slice(low, high - low), column(batch, "good").slice(low, high - low), pa.array(n, pa.int64()), pa.array(bodies, pa.binary())], names=["key", "good", "n", "codes"])
+
+    coded = rows.mapInArrow(run, f"key {kind}, good int, n bigint, codes binary").where("codes IS NOT NULL")
+    one = stored(coded.groupBy("key", "good").agg(F.min(F.struct("n", "codes")).alias("x")).select("key", "good", F.xxhash64("key").alias("h"), "x.*"), "sample")
+    # As many rows as there are sampled keys.
+    left, fits = dict.fromkeys((0, 1), most_lines), []
+    for r in sorted(one.select("h", "key", "good", "n").collect()):
+        if r.n <= left.setdefault(r.good, most_lines):
+            left[r.good] -= r.n
+            fits.append((r.key,))
+    if not fits:
         return Field(np.zeros((3, FEATURES)), 0.0, np.zeros((2, 2)))
+    chosen = documents.sparkSession.createDataFrame(fits, f"key {kind}")
+    sample = sorted((bytes(r.codes), r.good) for r in one.join(F.broadcast(chosen), "key").select("codes", "good").collect())
     codes = np.frombuffer(b"".join(c for c, _ in sample), np.uint8).reshape(-1, len(WIDTHS)).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum([len(c) // len(WIDTHS) for c, _ in sample])])
     return fit(codes, begin, np.array([g for _, g in sample]))

@@ -60,3 +60,31 @@ def test_windows_hold_all_ngrams():
     low, high, own = language.windows(np.array([0, 0, 10_001]))
     assert own.tolist() == [0, 1, 1, 1] and low[1] == 0 and high[-1] == 10_001 and (high - low <= language.WINDOW + 3).all()
     assert (language.window_presence(data, low, high).any(0) == language.presence(data, np.array([0, 10_001]))[0]).all()
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda rows, labels: seen.append(labels))
+    rows = [(7, "one text", "aa")] * 300 + [(i, f"some text {i}", "bb") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    language.train(docs, F.lit(True), per_language=50, most=40)
+    assert seen == [["aa"] + ["bb"] * 20]
+
+
+def test_predictions_equal_the_formula(spark):
+    """Scores from sets of n-grams by plain Python; two n-grams of a text fall on one place at most."""
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choices("abcde" if i % 2 else "vwxyz", k=12)) for i in range(12)}
+    docs = spark.createDataFrame([(i, t, "one" if i % 2 else "two") for i, t in texts.items()], "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    grams = lambda t: {t[i : i + n] for n in language.LENGTHS for i in range(len(t) - n + 1)}
+    found = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    marks = [set(np.flatnonzero(m)) for m in model.landmarks]
+    for i, t in texts.items():
+        data = np.frombuffer(t.encode(), np.uint8)
+        own = set(np.flatnonzero(language.presence(data, np.array([0, len(data)]))[0]))
+        assert len(grams(t)) - 1 <= len(own) <= len(grams(t))
+        kernel = np.array([len(own & m) / (len(own) * len(m)) ** 0.5 for m in marks])
+        scores = kernel @ model.weights
+        assert found[i].lang_pred == model.languages[int(scores.argmax())] == ("one" if i % 2 else "two")
+        assert abs(found[i].score - min(max(scores.max(), 0), 1)) < 1e-4

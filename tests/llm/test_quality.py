@@ -65,3 +65,49 @@ def test_held_out(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
     assert [r.h for r in rows if r.doc_id is None] == [False]
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    codes, _, begin = quality.lines(*flat(["one two\nTHREE!! 4\n\nfive", "", "a b c\nd e.\nF", "same\nsame"]))
+    label = rng.integers(0, 2, len(codes)).astype(float)
+    value = rng.normal(size=3 * quality.FEATURES + 5) / 2
+
+    def likelihood(value):
+        field = quality.unflat(value)
+        scores, total = field.scores(codes, begin), 0.0
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            y = label[a:b].astype(int)
+            total += (scores[a:b] * y).sum() + sum(field.steps[p, q] for p, q in zip(y, y[1:], strict=False)) - brute_marginals(scores[a:b], field.steps)[1]
+        return total
+
+    got = quality.gradient(quality.unflat(value), codes, begin, label)
+    for i in [*range(0, 3 * quality.FEATURES, 5), *range(3 * quality.FEATURES, len(value))]:
+        step = np.zeros(len(value))
+        step[i] = 1e-5
+        assert np.isclose(got[i], (likelihood(value + step) - likelihood(value - step)) / 2e-5, atol=1e-5)
+
+
+def test_scores_equal_enumeration(spark):
+    rng = np.random.default_rng(6)
+    field = quality.unflat(rng.normal(size=3 * quality.FEATURES + 5) / 3)
+    texts = ["one two\nTHREE!! 4\n\nfive", "", "a b c\nd e.\nF", None, "x"]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()}
+    for i, text in enumerate(texts):
+        codes, length, begin = quality.lines(*flat([text or ""]))
+        weight = length + 1
+        assert np.isclose(got[i], (brute_marginals(field.scores(codes, begin), field.steps)[0] * weight).sum() / weight.sum())
+
+
+def test_sample_takes_whole_documents_and_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda codes, begin, good: seen.append((np.diff(begin).tolist(), good.tolist())))
+    rows = [(i, "word\n" * (i % 7)) for i in range(60)] + [(5, "word\n" * 3)] * 50 + [(100, "w\n" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(60), 100]], "doc_id long, quality int")
+    quality.train(docs, labels, F.lit(True), per_label=20, most_lines=60, longest=40)
+    quality.train(docs.orderBy("text"), labels.repartition(5), F.lit(True), per_label=20, most_lines=60, longest=40)
+    lengths, good = seen[0]
+    assert seen[0] == seen[1] and max(lengths) <= 7 and 20 < len(good) <= 40
+    for g in (0, 1):
+        assert sum(n for n, x in zip(lengths, good, strict=True) if x == g) <= 60

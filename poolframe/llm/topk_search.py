@@ -14,6 +14,10 @@ from poolframe.llm.store import stored
 
 #: Queries in a block, and vectors whose scores a dense array holds at a time.
 QUERIES, CANDIDATES = 1024, 4096
+#: Blocks of queries and rows of CANDIDATES vectors that meet in one key of the join.
+BLOCKS, ROWS = 16, 16
+#: Blocks whose best a task holds before it passes them on.
+HELD = 64
 
 
 def weights(vector: Column, scale: int = 256) -> Column:
@@ -69,17 +73,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, ke
     the smaller key comes first; fewer candidates give fewer rows. Vectors that are null,
     hold nulls or numbers that aren't finite, and rows without a key take no part. Of
     queries with one key, that with the smallest vector is asked. Products must fit into
-    64 bits. Blocks of queries meet blocks of vectors; a task keeps the best of each query
-    so far, so k rows per query and task are all that is merged.
+    64 bits.
+
+    Blocks of queries and rows of vectors are dealt to groups and slices of fixed sizes, and each group meets
+    each slice under a key of its own: so no key holds more than BLOCKS * QUERIES queries and about ROWS * CANDIDATES
+    vectors, vectors are copied once for each group, queries once for each slice. A task keeps the best of
+    each query so far, so k rows per query and task are all that is merged.
     """
     rows = vectors.select(vectors[key].cast("bigint").alias("id"), weights(vectors[vector], scale).alias("w"), queries.alias("asks")).where("id IS NOT NULL AND w IS NOT NULL")
     asked = rows.where("asks").groupBy("id").agg(F.min("w").alias("w"))
     n = asked.count()
     blocks = max(1, -(-n // QUERIES))
+    groups, total = -(-blocks // BLOCKS), rows.count()
+    slices = max(1, -(-total // (ROWS * CANDIDATES)))
     asked = stored(
         asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "w")).alias("queries")).select("block", F.col("queries.id").alias("query_ids"), F.col("queries.w").alias("query_weights")),
         "queries",
     )
+    asked = asked.withColumns({"group": F.pmod("block", F.lit(groups)), "slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for up to CANDIDATES vectors."""
@@ -89,7 +100,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, ke
                 yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.int64())))], names=["ids", "weights"])
 
     packed = rows.select("id", "w").mapInArrow(pack, "ids array<bigint>, weights array<array<bigint>>")
-    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
+    sliced = packed.withColumns({"slice": F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(slices)).cast("int"), "group": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
+    met = sliced.join(asked, ["group", "slice"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, ...]] = {}
@@ -107,6 +119,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, ke
                     place = np.arange(len(order)) - np.searchsorted(new[0], new[0])
                     new = tuple(x[place < k] for x in new)
                 kept[block.as_py()] = new
+                if len(kept) >= HELD:
+                    yield from passed_on(kept)
+                    kept.clear()
+        yield from passed_on(kept)
+
+    def passed_on(kept: dict[int, tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for q, v, s in kept.values():
             yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 

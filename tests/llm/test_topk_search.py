@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from poolframe.llm import topk_search
 
 
-@pytest.mark.parametrize("sizes", [{}, {"QUERIES": 2, "CANDIDATES": 7}])
+@pytest.mark.parametrize("sizes", [{}, {"QUERIES": 2, "CANDIDATES": 7}, {"QUERIES": 2, "CANDIDATES": 5, "BLOCKS": 1, "ROWS": 2, "HELD": 1}])
 def test_equals_all_products(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(topk_search, name, value)

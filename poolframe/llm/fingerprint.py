@@ -114,7 +114,7 @@ def with_edits(documents: DataFrame, width: int = 5, text: str = "text", key: st
     near_edited and near_next. A text is edited by putting the first code points of the
     next document in place of its last third; next is that of the next smaller key, after
     the smallest the largest, rows without a key last and rows of equal keys in order of their
-    texts. A null text is an empty one; texts without words have empty fingerprints,
+    texts' hashes. A null text is an empty one; texts without words have empty fingerprints,
     that are like each other and nothing else. A document alone is its own next.
 
     Texts are shuffled once, into ranges of keys, and each is compared with the one after
@@ -122,8 +122,10 @@ def with_edits(documents: DataFrame, width: int = 5, text: str = "text", key: st
     """
     kind = documents.schema[key].dataType.simpleString()
     ranged = documents.select(documents[key].alias("key"), F.coalesce(documents[text], F.lit("")).alias("text"))
-    order = [F.col("key").desc_nulls_last(), F.col("text")]
-    ranged = ranged.repartitionByRange(F.col("key").desc_nulls_last()).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # Equal rows may change places, so a number tells them apart: rows of one key needn't be one range.
+    ranged = ranged.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
+    order = [F.col("key").desc_nulls_last(), F.col("h"), F.col("m")]
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text", F.spark_partition_id().alias("part"))
     names = ["part", "edge", "key", "text", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

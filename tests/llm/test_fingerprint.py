@@ -40,3 +40,11 @@ def test_empty_bins_borrow():
     assert some.all() and (prints == again).all()
     other, _ = fingerprint.fingerprints(np.frombuffer(b"other words", np.uint8), np.array([0, 11]))
     assert fingerprint.likeness(prints, other, some, some)[0] < 0.1
+
+
+def test_rows_of_one_key(spark):
+    rows = [(7, f"text number {i % 40} of one key") for i in range(200)] + [(8, "the first"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first, again = (sorted(tuple(r) for r in fingerprint.with_edits(d).collect()) for d in (docs, docs.repartition(3).coalesce(2)))
+    assert first == again
+    assert len(first) == 202

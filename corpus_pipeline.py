@@ -1,66 +1,5 @@
-"""From raw documents to packed training sequences, in stages over Parquet."""
+"""The corpus pipeline: five stages from raw documents to packed training sequences."""
 
-from __future__ import annotations
+from poolframe.llm.stages import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from poolframe.llm import mixing, ngram_join, packing, quality, substring_dedup
-from poolframe.llm.store import fresh_path
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines are good enough on the whole; those that the classifier rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    field = quality.train(docs, labels, ~quality.held_out(F.col("doc_id")))
-    # The verdict travels with the row: scoring passes all columns on.
-    return quality.scored_rows(docs, field, threshold=0.3).where("predicted = 1").select(*docs.columns)
-
-
-def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by the likeness of five-word shingles."""
-    return ngram_join.deduplicate(docs, width=5, part=75, of=100)
-
-
-def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has; those left without a word go."""
-    cut = substring_dedup.remove_repeats(docs)
-    size = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    kept = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
-    return kept.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight has it."""
-    copies = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2).where("copies > 0")
-    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1, with_ids=True)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", keep_good),
-    ("n-gram Jaccard join", one_of_near_copies),
-    ("substring dedup", without_repeated_passages),
-    ("mixing sources to target weights", mixed),
-    ("packing", packed),
-]
-
-#: The quality classifier is trained and the tokenizer is a library's: SQL can't express them.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written as Parquet and read again as the next one's."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = fresh_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

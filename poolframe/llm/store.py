@@ -91,8 +91,8 @@ def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str, total:
     """`rows` left-joined with a table that has a row for each key `on`, and in `count` how many of the `total` rows have it.
 
     Keys with more than total / HOT_KEYS rows are put to the rows by a broadcast, as there are fewer than HOT_KEYS
-    of them; the rows of others are shuffled by the key, those of hot ones anywhere. `count` is left out. No key
-    is null. A key that isn't in the table must be rare. With `partitions`, rows are dealt to so many.
+    of them; the rows of others are shuffled by the key, those of hot ones and of null keys anywhere. `count` is left
+    out. A key that isn't in the table must be rare. With `partitions`, rows are dealt to so many.
     """
     values = [c for c in table.columns if c not in (on, count)]
     hot = F.col(count) * HOT_KEYS > total
@@ -100,7 +100,7 @@ def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str, total:
     first = table.where(hot).select(F.col(on), F.struct(F.lit(True).alias("is"), *values).alias(near))
     marked = rows.join(F.broadcast(first), on, "left")
     away = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
-    marked = marked.withColumn(spread, F.when(F.col(near).isNotNull(), away).otherwise(F.col(on).cast("string")))
+    marked = marked.withColumn(spread, F.when(F.col(near).isNotNull() | F.col(on).isNull(), away).otherwise(F.col(on).cast("string")))
     if partitions:
         marked = marked.repartition(partitions, spread)
     rest = table.where(~hot).select(F.col(on).cast("string").alias(spread), F.struct(*values).alias(f"{near}_"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,17 @@ def peaks(spans: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return usage(spans, by).groupBy(*by).agg(F.max("used").alias("total"))
 
 
+def peak_timeline(spans: DataFrame, by: Sequence[str] = BY, start: int = 0) -> DataFrame:
+    """by, tm, remaining, total of every pool with spans, its total being the most that it ever had in use.
+
+    Usage is summed once: the peak is taken over the same partition.
+    """
+    first = spans.select(*by).distinct().select(*by, F.lit(start).cast("bigint").alias("st"), F.lit(start).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("planned"))
+    used = usage(spans.select(*first.columns).unionByName(first), by)
+    total = F.max("used").over(Window.partitionBy(*by))
+    return used.select(*by, "tm", (total - F.col("used")).alias("remaining"), total.alias("total"))
+
+
 def timeline(spans: DataFrame, totals: DataFrame, by: Sequence[str] = BY, start: int = 0) -> DataFrame:
     """by, tm, remaining, total: for every pool in `totals`, those without spans too, the points from `start` on."""
     first = totals.select(*by, F.lit(start).cast("bigint").alias("st"), F.lit(start).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("planned"))
@@ -37,17 +50,24 @@ def timeline(spans: DataFrame, totals: DataFrame, by: Sequence[str] = BY, start:
     return used.join(totals, list(by)).select(*by, "tm", (F.col("total") - F.col("used")).alias("remaining"), "total")
 
 
+def _floor(points: DataFrame, times: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, tm, value: that of the latest point not after each distinct time, null before the first.
+
+    An as-of join as one union and one window, not a join of ranges. Times are made distinct first, so a pool
+    that is asked about very often brings a row per time.
+    """
+    asked = times.select(*by, "tm").distinct()
+    both = points.select(*by, "tm", F.col(value).alias("known"), F.lit(0).alias("kind")).unionByName(asked.select(*by, "tm", F.lit(1).alias("kind")), allowMissingColumns=True)
+    until = Window.partitionBy(*by).orderBy("tm", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(value, F.last("known", ignorenulls=True).over(until)).where("kind = 1").select(*by, "tm", value)
+
+
 def at(points: DataFrame, asked: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """`asked` (by, tm, ...) with remaining: that of the latest point not after tm, null before the first.
 
-    An as-of join as one union and one window, not a join of ranges.
+    Every row of `asked` is answered, repeated ones too.
     """
-    extra = [c for c in asked.columns if c not in (*by, "tm")]
-    row = F.struct(*extra).alias("row") if extra else F.struct(F.lit(1).alias("one")).alias("row")
-    both = points.select(*by, "tm", F.col("remaining").alias("known"), F.lit(0).alias("kind")).unionByName(asked.select(*by, "tm", row, F.lit(1).alias("kind")), allowMissingColumns=True)
-    until = Window.partitionBy(*by).orderBy("tm", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("remaining", F.last("known", ignorenulls=True).over(until)).where("kind = 1")
-    return out.select(*by, "tm", *[F.col(f"row.{c}") for c in extra], "remaining")
+    return asked.join(_floor(points, asked, by, "remaining"), [*by, "tm"], "left").select(*asked.columns, "remaining")
 
 
 def segments(points: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -55,12 +75,38 @@ def segments(points: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return points.withColumn("until", F.lead("tm").over(Window.partitionBy(*by).orderBy("tm")))
 
 
+#: The least over runs of 1, 2, 4 ... points is kept for so many powers of two.
+RUNS = 16
+
+
 def during(points: DataFrame, asked: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """`asked` (by, tm, duration, ...) with least: the least that remains over [tm, tm + duration)."""
-    pieces = segments(points, by).select(*[F.col(c).alias(f"p_{c}") for c in by], F.col("tm").alias("p_tm"), "until", "remaining")
-    same = [F.col(c) == F.col(f"p_{c}") for c in by]
-    overlap = (F.col("p_tm") < F.col("tm") + F.col("duration")) & (F.col("until").isNull() | (F.col("until") > F.col("tm")))
-    return asked.join(pieces, [*same, overlap]).groupBy(*asked.columns).agg(F.min("remaining").alias("least"))
+    """`asked` (by, tm, duration, ...) with least: the least that remains over [tm, tm + duration).
+
+    Every row of `asked` is answered, repeated ones too; pools without a point by then get null. Points are numbered, and the
+    least over 1, 2, 4 ... points from each on is kept. A window is the points between two as-of reads, and two
+    such runs cover them, or some more if it is longer than the longest run: so questions and points meet in equi-joins alone.
+    """
+    turn = Window.partitionBy(*by).orderBy("tm")
+    numbered = points.select(*by, "tm", F.col("remaining").alias("r0"), F.row_number().over(turn).alias("n"))
+    for k in range(1, RUNS):
+        # Past the last point nothing is lead to, and runs that would reach there are left out below.
+        numbered = numbered.withColumn(f"r{k}", F.least(f"r{k - 1}", F.lead(f"r{k - 1}", 1 << (k - 1)).over(turn)))
+    of_all = numbered.withColumn("points", F.count("*").over(Window.partitionBy(*by)))
+    runs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("least")) for k in range(RUNS)]), lambda x: F.pow(F.lit(2.0), x["k"]) + F.col("n") - 1 <= F.col("points"))
+    table = of_all.select(*by, "n", F.inline(runs))
+    questions = asked.select(*by, "tm", "duration").distinct()
+    ends = questions.select(*by, "tm").unionByName(questions.select(*by, (F.col("tm") + F.col("duration") - 1).alias("tm")))
+    place = _floor(numbered, ends, by, "n")
+    low = place.select(*by, "tm", F.col("n").alias("low"))
+    high = place.select(*by, F.col("tm").alias("end"), F.col("n").alias("high"))
+    placed = questions.withColumn("end", F.col("tm") + F.col("duration") - 1).join(low, [*by, "tm"]).join(high, [*by, "end"]).where("high IS NOT NULL AND duration > 0")
+    length = F.col("high") - F.coalesce("low", F.lit(1)) + 1
+    placed = placed.withColumns({"low": F.coalesce("low", F.lit(1)), "k": F.least(F.floor(F.log2(length.cast("double"))), F.lit(RUNS - 1)).cast("int")})
+    step = F.pow(F.lit(2.0), F.col("k")).cast("int")
+    last = F.col("high") - step + 1
+    halves = placed.select(*by, "tm", "duration", "k", F.explode(F.array_distinct(F.concat(F.sequence("low", last, step), F.array(last)))).alias("n"))
+    least = halves.join(table, [*by, "n", "k"]).groupBy(*by, "tm", "duration").agg(F.min("least").alias("least"))
+    return asked.join(least, [*by, "tm", "duration"], "left").select(*asked.columns, "least")
 
 
 def fits(points: DataFrame, duration: int, wanted: Column, after: int = 0, plan_end: int | None = None, by: Sequence[str] = BY) -> DataFrame:
@@ -98,11 +144,61 @@ def fits_all(points: DataFrame, duration: int, wanted: dict[str, int], after: in
     return at_once.where(F.col("candidate") & (F.col("n") == len(wanted))).select(*by, "tm")
 
 
-def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """The spans with those of `new` (by, jobid, st, last, planned) that fit on their own."""
-    asked = new.select(*by, "jobid", F.col("st").alias("tm"), (F.col("last") - F.col("st")).alias("duration"), "planned")
-    taken = during(points, asked, by).where("least >= planned")
-    return spans.unionByName(taken.select(*by, "jobid", F.col("tm").alias("st"), (F.col("tm") + F.col("duration")).alias("last"), "planned"))
+def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[str] = BY, kind: Sequence[str] = ()) -> DataFrame:
+    """The spans with those of `new` (by, jobid, st, last, planned) that fit, each beside those added before it.
+
+    New spans are tried in order of jobid, st and last in each pool. What fits even if all new ones are added needs no
+    order and is added at once. The others are tried in turn by tasks that take a pool and a stretch of time
+    in which they overlap, as in other stretches they don't meet.
+
+    With `kind` (columns of `by`, such as the type of units) the rows of a job with equal st and last are one span over several
+    kinds: it is added with all of them or not at all.
+    """
+    pool = [c for c in by if c not in kind]
+    who = [*pool, "jobid", "st", "last"]
+    change = F.inline(F.array(F.struct(F.col("st").alias("tm"), F.col("planned").alias("change")), F.struct(F.col("last").alias("tm"), (-F.col("planned")).alias("change"))))
+    steps = points.select(*by, "tm", (-F.col("remaining") + F.lag("remaining", 1, 0).over(Window.partitionBy(*by).orderBy("tm"))).alias("change"))
+    both = steps.unionByName(new.select(*by, change)).groupBy(*by, "tm").agg(F.sum("change").alias("change"))
+    crowded = both.select(*by, "tm", (-F.sum("change").over(Window.partitionBy(*by).orderBy("tm"))).alias("remaining"))
+    asked = new.select(*by, "jobid", "st", "last", "planned", F.col("st").alias("tm"), (F.col("last") - F.col("st")).alias("duration"))
+    tested = during(crowded, asked, by).withColumn("fits", F.coalesce(F.col("least") >= 0, F.lit(False)))
+    tested = tested.withColumn("fits", F.min("fits").over(Window.partitionBy(*who)))
+    sure, open_ = tested.where("fits"), tested.where("NOT fits")
+    # Stretches: a span begins one if all before it in its pool have ended.
+    before = Window.partitionBy(*pool).orderBy("st", "last", "jobid").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("st") >= F.coalesce(F.max("last").over(before), F.col("st"))
+    spans_of = open_.select(*who).distinct().withColumn("fresh", fresh.cast("int"))
+    stretches = spans_of.withColumn("stretch", F.sum("fresh").over(Window.partitionBy(*pool).orderBy("st", "last", "jobid"))).drop("fresh")
+    limits = stretches.groupBy(*pool, "stretch").agg(F.min("st").alias("from"), F.max("last").alias("to"))
+    base = steps.unionByName(sure.select(*by, change)).groupBy(*by, "tm").agg(F.sum("change").alias("change"))
+    base = segments(base.select(*by, "tm", (-F.sum("change").over(Window.partitionBy(*by).orderBy("tm"))).alias("remaining")), by)
+    within = base.join(limits, pool).where(F.col("tm") < F.col("to")).where(F.col("until").isNull() | (F.col("until") > F.col("from")))
+    schema = open_.select(*by, "jobid", "st", "last", "planned").schema
+    level = within.select(*[F.col(c).alias(c) for c in (*by, "stretch", "tm", "remaining")]).groupBy(*pool, "stretch")
+    tried = open_.join(stretches, who).select(*[F.col(c).alias(c) for c in (*by, "jobid", "st", "last", "planned", "stretch")]).groupBy(*pool, "stretch").cogroup(level).applyInPandas(lambda a, b: _in_turn(a, b, list(kind), schema.names), schema)
+    return spans.unionByName(sure.select(*schema.names).unionByName(tried).select(*spans.columns))
+
+
+def _in_turn(new: pd.DataFrame, levels: pd.DataFrame, kind: list[str], names: list[str]) -> pd.DataFrame:
+    """The rows of one pool's new spans that fit, tried in turn, over what remains by time."""
+    times = np.unique(np.concatenate([levels["tm"], new["st"], new["last"]]))
+    left: dict[tuple, np.ndarray] = {}
+    for key, part in levels.groupby(kind) if kind else [((), levels)]:
+        part = part.sort_values("tm")
+        at = np.searchsorted(part["tm"].to_numpy(), times, "right") - 1
+        left[key] = np.where(at >= 0, part["remaining"].to_numpy()[np.maximum(at, 0)], 0)
+    taken = []
+    for (_, st, last), rows in new.groupby(["jobid", "st", "last"], sort=True):
+        low, high = np.searchsorted(times, [st, last])
+        wanted = [(tuple(r[c] for c in kind), r["planned"]) for _, r in rows.iterrows()]
+        need: dict[tuple, int] = {}
+        for key, n in wanted:
+            need[key] = need.get(key, 0) + n
+        if all(key in left and (low == high or left[key][low:high].min() >= n) for key, n in need.items()):
+            for key, n in need.items():
+                left[key][low:high] -= n
+            taken.append(rows)
+    return pd.concat(taken)[names] if taken else new.iloc[:0][names]
 
 
 def remove_spans(spans: DataFrame, gone: DataFrame, on: Sequence[str] = ("jobid",)) -> DataFrame:

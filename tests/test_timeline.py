@@ -79,3 +79,55 @@ def test_all_types_at_once(spark, wanted, want):
     points = timeline.timeline(spans, spark.createDataFrame([(1, "core", 4), (1, "gpu", 2)], "uniq_id long, rtype string, total long"), by)
     got = timeline.fits_all(points, 2, wanted).agg(F.min("tm").alias("tm")).collect()[0].tm
     assert got == want
+
+
+def sequential(spans, totals_of, new):
+    """New spans (pool, job, st, last, {type: units}) in order, each with all its types or not at all."""
+    held, taken = list(spans), []
+    for pool, job, st, last, units in sorted(new, key=lambda x: (x[0], x[1], x[2], x[3])):
+        fits = all(totals_of[pool, kind] - sum(u.get(kind, 0) for p, _, s, e, u in held if p == pool and s <= t < e) >= n for kind, n in units.items() for t in range(st, last))
+        if fits:
+            held.append((pool, job, st, last, units))
+            taken.append((pool, job, st, last))
+    return sorted(taken)
+
+
+def test_new_spans_that_clash(spark):
+    spans = frame(spark, [(1, 1, 0, 20, 1)])
+    points = timeline.timeline(spans, totals(spark, (1, 4)))
+    added = timeline.add_spans(spans, points, frame(spark, [(1, 2, 3, 9, 2), (1, 3, 5, 8, 2), (1, 4, 8, 9, 1), (1, 5, 9, 12, 3)]))
+    assert sorted(r.jobid for r in added.collect()) == [1, 2, 4, 5]
+    for seed in range(3):
+        rng = random.Random(seed)
+        old = [(p, j, s := rng.randrange(50), s + rng.randint(1, 15), rng.randint(0, 2)) for p in (1, 2, 3) for j in range(12)]
+        new = [(p, 100 + j, s := rng.randrange(60), s + rng.randint(1, 12), rng.randint(1, 4)) for p in (1, 2, 3) for j in range(40)]
+        most = {(p, "x"): 12 for p in (1, 2, 3)}
+        base = frame(spark, old)
+        got = timeline.add_spans(base, timeline.timeline(base, totals(spark, (1, 12), (2, 12), (3, 12))), frame(spark, new))
+        want = sequential([(p, j, s, e, {"x": n}) for p, j, s, e, n in old], most, [(p, j, s, e, {"x": n}) for p, j, s, e, n in new])
+        assert sorted((r.uniq_id, r.jobid, r.st, r["last"]) for r in got.where("jobid >= 100").collect()) == want and len(want) < 120
+
+
+def test_new_spans_of_several_types(spark):
+    rng = random.Random(5)
+    schema, by = "uniq_id long, jobid long, st long, last long, rtype string, planned long", ("uniq_id", "rtype")
+    old = [(p, j, s := rng.randrange(40), s + rng.randint(1, 15), {"core": rng.randint(0, 2), "gpu": rng.randint(0, 1)}) for p in (1, 2) for j in range(10)]
+    new = [(p, 100 + j, s := rng.randrange(50), s + rng.randint(1, 9), {"core": rng.randint(1, 3), "gpu": rng.randint(0, 2)}) for p in (1, 2) for j in range(40)]
+    rows = lambda x: spark.createDataFrame([(p, j, s, e, k, n) for p, j, s, e, u in x for k, n in u.items()], schema)
+    most = {(p, k): n for p in (1, 2) for k, n in (("core", 9), ("gpu", 5))}
+    base = rows(old)
+    points = timeline.timeline(base, spark.createDataFrame([(p, k, n) for (p, k), n in most.items()], "uniq_id long, rtype string, total long"), by)
+    got = timeline.add_spans(base, points, rows(new), by, kind=("rtype",)).where("jobid >= 100")
+    want = sequential(old, most, new)
+    assert sorted({(r.uniq_id, r.jobid, r.st, r["last"]) for r in got.collect()}) == want and 0 < len(want) < 80
+    assert got.count() == 2 * len(want)
+
+
+@pytest.mark.parametrize("runs", [2, 16])
+def test_every_question_is_answered(spark, monkeypatch, runs):
+    monkeypatch.setattr(timeline, "RUNS", runs)
+    points = timeline.timeline(frame(spark, [(1, 1, 5, 9, 2)]), totals(spark, (1, 3)))
+    asked = spark.createDataFrame([(1, 4, 3), (1, 4, 3), (9, 4, 3), (1, -5, 2), (1, -5, 50), (1, 9, 1000)], "uniq_id long, tm long, duration long")
+    got = sorted(((r.uniq_id, r.tm, r.duration), r.least) for r in timeline.during(points, asked).collect())
+    assert got == [((1, -5, 2), None), ((1, -5, 50), 1), ((1, 4, 3), 1), ((1, 4, 3), 1), ((1, 9, 1000), 3), ((9, 4, 3), None)]
+    assert timeline.at(points, asked).count() == 6

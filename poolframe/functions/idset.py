@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,25 @@ def members(text: str) -> list[str]:
     return out
 
 
+def within(column: Column, text: str) -> Column:
+    """Whether a column's name or number is in a compressed set; a range is a comparison, however long it is."""
+    out, name = F.lit(False), column.cast("string")
+    for part in re.findall(r"[^,\[\]]*\[[^\]]*\]|[^,]+", text):
+        prefix, _, body = part.partition("[")
+        if not body:
+            prefix, body = ("", part) if re.fullmatch(r"\d+(-\d+)?", part) else (part, "")
+        for span in body.rstrip("]").split(",") if body else [""]:
+            low, _, high = span.partition("-")
+            if not high:
+                out = out | (name == prefix + low)
+                continue
+            digits = F.regexp_extract(name, f"^{re.escape(prefix)}(\\d+)$", 1)
+            number = digits.try_cast("bigint")
+            plain = F.length(digits) == F.greatest(F.lit(len(low)), F.length(number.cast("string")))
+            out = out | F.coalesce(number.between(int(low), int(high)) & plain, F.lit(False))
+    return out
+
+
 def encode(rows: DataFrame, by: Sequence[str], column: str, out: str = "idset") -> DataFrame:
     """by, out: each group's distinct ids as ranges in ascending order.
 

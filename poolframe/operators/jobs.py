@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,37 +21,6 @@ def lines(jobs: DataFrame, depth: int | None = None) -> DataFrame:
     return placed if depth is None else placed.where(F.col("place") <= depth)
 
 
-def first_come(jobs: DataFrame, nodes: int) -> DataFrame:
-    """queue, jobid, start, state: when jobs of a queue start in order on `nodes` nodes of its own.
-
-    No job starts before one ahead of it; jobs that ask for more nodes than there are get
-    null and `rejected`. The line is one fold, so a task takes a queue's jobs in order, batch
-    by batch, and holds only those that run.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue, running, free, now = None, [], nodes, 0
-        for batch in batches:
-            starts = []
-            for name, submitted, duration, wanted in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                if name != queue:
-                    queue, running, free, now = name, [], nodes, 0
-                if wanted > nodes:
-                    starts.append(None)
-                    continue
-                now = max(now, submitted)
-                while running and (running[0][0] <= now or free < wanted):
-                    end, given = heapq.heappop(running)
-                    now, free = max(now, end), free + given
-                free -= wanted
-                heapq.heappush(running, (now + duration, wanted))
-                starts.append(now)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(["rejected" if s is None else "started" for s in starts])], names=["queue", "jobid", "start", "state"])
-
-    slim = jobs.select("queue", "jobid", "t_submit", "duration", "nodes", F.col("priority"))
-    return slim.repartition("queue").sortWithinPartitions("queue", *order()).drop("priority").mapInArrow(run, "queue string, jobid bigint, start bigint, state string")
-
-
 def windows(jobs: DataFrame, start: int, end: int) -> DataFrame:
     """Jobs (at, duration) with until and state: durations are rounded up, 0 lasts as long as the graph does.
 

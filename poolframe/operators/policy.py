@@ -27,9 +27,11 @@ POLICIES = {
     "lonode": Policy(descending=False, node_centric=True),
     "hinodex": Policy(node_centric=True, node_exclusive=True),
     "lonodex": Policy(descending=False, node_centric=True, node_exclusive=True),
-    "first": Policy(stop_on_first=True),
-    "firstnodex": Policy(node_exclusive=True, stop_on_first=True),
+    "first": Policy(node_centric=True, stop_on_first=True),
+    "firstnodex": Policy(node_centric=True, node_exclusive=True, stop_on_first=True),
 }
+#: Policies that order by neighbourhood or by a class of performance, not by ids.
+OTHERS = ("locality", "variation")
 
 
 def policy(text: str) -> Policy:
@@ -71,6 +73,34 @@ def best(candidates: DataFrame, need: Column, by: Sequence[str], order: Sequence
     return kept.withColumn("taken", F.least(F.col(amount), F.col("wanted") - (F.col("upto") - F.col(amount)))).drop("upto", "of_all", "wanted")
 
 
+def order(chosen: Policy) -> list[Column]:
+    """A total order of candidates (id, uniq_id; node_id and node of the node above, if it counts) by score."""
+    score = id_score(F.col("id"), F.col("node_id"), F.col("node")) if chosen.node_centric else id_score(F.col("id"))
+    return [score.desc() if chosen.descending else score.asc(), F.col("uniq_id").asc()]
+
+
+def choose(candidates: DataFrame, need: Column, by: Sequence[str], name: str, amount: str = "amount") -> DataFrame:
+    """What a policy, by name or settings, takes of each group's candidates to reach `need`, with `taken`.
+
+    Policies that stop on the first match take candidates in the order in which they would be met, those with
+    most free first; the others in order of score. Of node-exclusive ones `whole_nodes` tells what goes with the choice.
+    """
+    if name == "locality":
+        return best(runs(candidates, by), need, by, [F.col("high").desc(), F.col("id"), F.col("uniq_id")], amount)
+    if name == "variation":
+        return best(candidates, need, by, [variation_score(F.col("properties")), F.col("uniq_id")], amount)
+    chosen = policy(name)
+    met = [F.col(amount).desc(), F.col("uniq_id").desc()] if chosen.stop_on_first else order(chosen)
+    return best(candidates, need, by, met, amount)
+
+
+def whole_nodes(chosen: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, uniq_id: nodes on or above the chosen pools (uniq_id), each with all below it and itself: it is taken whole."""
+    nodes = vertices.where("type = 'node'").select(F.col("uniq_id").alias("anc"))
+    used = pairs.join(nodes, "anc", "left_semi").join(chosen.select(F.col("uniq_id").alias("desc")), "desc", "left_semi").select("anc").distinct()
+    return pairs.join(used, "anc", "left_semi").select(F.col("anc").alias("node"), F.col("desc").alias("uniq_id"))
+
+
 def top(candidates: DataFrame, k: int, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first k candidates of each group; tasks drop the others before they are shuffled."""
     return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from poolframe.functions.idset import members
+from poolframe.functions.idset import within
 
 #: Fixed value: characters that no property may hold in a constraint.
 INVALID = set("!&'\"^`|()")
@@ -49,12 +49,19 @@ def constraint(spec: dict[str, list] | None) -> Column:
             out = out & has_property(v)
         return out
     if operator == "hostlist":
-        return F.col("name").isin(*[h for v in values for h in members(v)])
+        return _any([within(F.col("name"), v) for v in values])
     if operator == "ranks":
-        return F.col("rank").isin(*[int(r) for v in values for r in members(v)])
+        return _any([within(F.col("rank"), v) for v in values])
     raise ValueError(f"unknown operator: {operator}")
 
 
+def _any(columns: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in columns:
+        out = out | c
+    return out
+
+
 def node_constraint(spec: dict[str, list] | None) -> Column:
     """The constraint for nodes and storage nodes; other types meet it."""
     return F.when(F.col("type").isin("node", "storage_node"), constraint(spec)).otherwise(True)
@@ -68,7 +75,8 @@ CRITERIA: dict[str, Callable[[str], Column]] = {
     "jobid-alloc": lambda v: F.array_contains("alloc_jobs", int(v)),
     "jobid-reserved": lambda v: F.array_contains("reserve_jobs", int(v)),
     "jobid-span": lambda v: F.array_contains("alloc_jobs", int(v)) | F.array_contains("reserve_jobs", int(v)),
-    "names": lambda v: F.col("name").isin(*members(v)),
+    "jobid-tag": lambda v: F.array_contains("tag_jobs", int(v)),
+    "names": lambda v: within(F.col("name"), v),
     "property": lambda v: F.map_contains_key("properties", F.lit(v.partition("=")[0])),
     "agfilter": lambda v: F.lit(v in ("t", "true")),
 }
@@ -124,6 +132,12 @@ def criteria(text: str) -> Column:
 
 
 def extract(text: str) -> list[tuple[str, str]]:
-    """The terms of a text that is valid, as pairs."""
+    """The terms of a text that is valid, as pairs; values in lower case, but those of jobs."""
     criteria(text)
-    return [tuple(t.split("=", 1)) for t in re.findall(r"[^\s()]+", text) if "=" in t]
+    pairs = [t.split("=", 1) for t in re.findall(r"[^\s()]+", text) if "=" in t]
+    return [(key, value if key.startswith("jobid") else value.lower()) for key, value in pairs]
+
+
+def jobs_of(text: str) -> list[int]:
+    """The jobs that criteria name: what `find.states` needs to know of spans."""
+    return sorted({int(value) for key, value in extract(text) if key.startswith("jobid")})

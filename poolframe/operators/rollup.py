@@ -54,16 +54,29 @@ def subtree_usage(spans: DataFrame, vertices: DataFrame, pairs: DataFrame, now:
     return pairs.where("depth > 0").join(typed, "desc").groupBy(F.col("anc").alias("anchor"), "rtype").agg(F.sum("used").alias("used"))
 
 
-def request_totals(requests: DataFrame, levels: int = 6) -> DataFrame:
+def request_totals(requests: DataFrame, levels: int | None = None, most: int = 1000) -> DataFrame:
     """jobid, type, total: units that each job asks for at least, from rows (jobid, req, parent, type, cmin).
 
-    A request below another counts once for each unit of it, level by level.
+    A request below another counts once for each unit of it, level by level, until a level is empty; more than `most`
+    are an error. With `levels`, the most below the outermost, nothing is run to find out, and deeper requests
+    make the plan fail.
     """
     out = level = requests.where("parent IS NULL").select("jobid", "req", "type", F.col("cmin").alias("total"))
-    for _ in range(levels):
+
+    def below(level: DataFrame) -> DataFrame:
         above = level.select("jobid", F.col("req").alias("parent"), F.col("total").alias("times"))
-        level = requests.join(above, ["jobid", "parent"]).select("jobid", "req", "type", (F.col("cmin") * F.col("times")).alias("total"))
+        return requests.join(above, ["jobid", "parent"]).select("jobid", "req", "type", (F.col("cmin") * F.col("times")).alias("total"))
+
+    for _ in range(most if levels is None else levels):
+        level = below(level)
+        if levels is None and level.persist().isEmpty():
+            break
         out = out.unionByName(level)
+    else:
+        if levels is None:
+            raise ValueError(f"requests are nested deeper than {most} levels")
+        too_deep = F.raise_error(F.concat(F.lit(f"requests are nested deeper than {levels} levels: "), F.col("total").cast("string"))).cast("bigint")
+        out = out.unionByName(below(level).withColumn("total", too_deep))
     return out.groupBy("jobid", "type").agg(F.sum("total").alias("total"))
 
 

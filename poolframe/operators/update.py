@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from poolframe.operators.closure import descendants
+from poolframe.operators.timeline import at
 
 
 def cancel(spans: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -60,11 +62,46 @@ def shrink(vertices: DataFrame, spans: DataFrame, pairs: DataFrame, roots: DataF
     return vertices.join(gone, "uniq_id", "left_anti"), spans.join(gone, "uniq_id", "left_anti")
 
 
+def _meeting(spans: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """`new` (by, st, last) made distinct, with `met`: how many spans overlap [st, last) in their group.
+
+    Those that begin before its end, less those that end by its start: two running counts that are read at
+    times, so no span meets another in a join.
+    """
+
+    def counted(time: str) -> DataFrame:
+        n = spans.groupBy(*by, F.col(time).alias("tm")).agg(F.count("*").alias("n"))
+        return n.select(*by, "tm", F.sum("n").over(Window.partitionBy(*by).orderBy("tm")).alias("remaining"))
+
+    asked = new.select(*by, "st", "last").distinct()
+    begun = at(counted("st"), asked.withColumn("tm", F.col("last") - 1), by).withColumnRenamed("remaining", "begun").drop("tm")
+    both = at(counted("last"), begun.withColumn("tm", F.col("st")), by).drop("tm")
+    return both.select(*by, "st", "last", (F.coalesce("begun", F.lit(0)) - F.coalesce("remaining", F.lit(0))).alias("met"))
+
+
 def conflicts(spans: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of `new` (uniq_id, jobid, st, last) whose pool a span of another job holds meanwhile."""
-    held = spans.select("uniq_id", F.col("jobid").alias("other"), F.col("st").alias("from"), F.col("last").alias("to"))
-    overlap = (new.uniq_id == held.uniq_id) & (new.jobid != held.other) & (F.col("from") < new["last"]) & (F.col("to") > new.st)
-    return new.join(held, overlap, "left_semi")
+    of_all = _meeting(spans, new, ["uniq_id"]).withColumnRenamed("met", "of_all")
+    of_job = _meeting(spans, new, ["uniq_id", "jobid"]).withColumnRenamed("met", "of_job")
+    clash = of_job.join(of_all, ["uniq_id", "st", "last"]).where("of_all > of_job").select("uniq_id", "jobid", "st", "last")
+    return new.join(clash, ["uniq_id", "jobid", "st", "last"], "left_semi").select(*new.columns)
+
+
+def apply(spans: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans with those of `new`, and jobid of jobs that are left out whole as one of their spans is in conflict."""
+    refused = conflicts(spans, new).select("jobid").distinct()
+    return spans.unionByName(new.join(refused, "jobid", "left_anti").select(*spans.columns)), refused
+
+
+def commit(chosen: DataFrame, job: Column, st: int, duration: int) -> DataFrame:
+    """The spans of a match: chosen pools (uniq_id, taken) are held by a job over [st, st + duration)."""
+    return chosen.select("uniq_id", job.cast("bigint").alias("jobid"), F.lit(st).cast("bigint").alias("st"), F.lit(st + duration).cast("bigint").alias("last"), F.col("taken").alias("planned"))
+
+
+def tags(spans: DataFrame, pairs: DataFrame) -> DataFrame:
+    """uniq_id, jobid, planned: every pool on or above a job's spans, with the units that the job holds there and below."""
+    held = spans.groupBy(F.col("uniq_id").alias("desc"), "jobid").agg(F.sum("planned").alias("planned"))
+    return pairs.join(held, "desc").groupBy(F.col("anc").alias("uniq_id"), "jobid").agg(F.sum("planned").alias("planned"))
 
 
 def promoted(children: DataFrame, taken: DataFrame) -> DataFrame:

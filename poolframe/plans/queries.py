@@ -62,8 +62,7 @@ def query(sql: str = "", *tables: str) -> Callable:
 
 
 def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = model.spans(spark, sf_dir)
-    return timeline.timeline(spans, timeline.peaks(spans))
+    return timeline.peak_timeline(model.spans(spark, sf_dir))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +81,11 @@ def _scratch(spark: SparkSession, name: str) -> str:
     """A folder that driver and executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = spark.conf.get("poolframe.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="poolframe-")
+        shared = spark.conf.get("poolframe.shared.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="poolframe-")
         spark.conf.set("poolframe.shared.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -113,41 +116,66 @@ def planner_avail_time_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for each job's first pool: when the job is submitted."""
-    return model.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(model.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_suppkey") + model.SOCKET).alias("uniq_id"), model.day(F.col("o_orderdate")).alias("tm"), F.col("o_orderkey").alias("jobid")).distinct()
+    """A question for each pool of each job, as often as the job has a span there: when the job is submitted."""
+    orders = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("jobid"), model.day(F.col("o_orderdate")).alias("tm"))
+    return model.spans(spark, sf_dir).select("uniq_id", "jobid").join(orders, "jobid").select("uniq_id", "tm", "jobid")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline, written, as questions read it several times."""
+    return _kept(_timeline(spark, sf_dir), "points")
 
 
 _A = """
-ask AS (SELECT DISTINCT (1000 + l_suppkey)::BIGINT AS v, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS tm, o_orderkey AS jobid FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"""
+ask AS (SELECT (1000 + l_suppkey)::BIGINT AS v, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS tm, o_orderkey AS jobid, row_number() OVER () AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @query("SELECT ask.v AS uniq_id, ask.tm, ask.jobid, tl.remaining FROM ask ASOF LEFT JOIN tl ON ask.v = tl.v AND ask.tm >= tl.tm", _S, _T, _A)
 def planner_avail_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.at(_timeline(spark, sf_dir), _asked(spark, sf_dir))
+    return timeline.at(_written(spark, sf_dir), _asked(spark, sf_dir))
 
 
 _SEG = "seg AS (SELECT *, lead(tm) OVER (PARTITION BY v ORDER BY tm) AS until FROM tl)"
-_DURING = "during AS (SELECT ask.v, ask.tm, ask.jobid, min(remaining) AS least FROM ask JOIN seg ON seg.v = ask.v AND seg.tm < ask.tm + 10 AND (seg.until IS NULL OR seg.until > ask.tm) GROUP BY ALL)"
+_DURING = "during AS (SELECT ask.v, ask.tm, ask.jobid, ask.q, min(remaining) AS least FROM ask LEFT JOIN seg ON seg.v = ask.v AND seg.tm < ask.tm + 10 AND (seg.until IS NULL OR seg.until > ask.tm) GROUP BY ALL)"
+
+
+def _least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.during(_written(spark, sf_dir), _asked(spark, sf_dir).withColumn("duration", F.lit(10).cast("bigint")))
 
 
 @query("SELECT v AS uniq_id, tm, jobid, 10::BIGINT AS duration, least FROM during", _S, _T, _A, _SEG, _DURING)
 def planner_min_during(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.during(_timeline(spark, sf_dir), _asked(spark, sf_dir).withColumn("duration", F.lit(10).cast("bigint")))
+    return _least(spark, sf_dir).select("uniq_id", "tm", "jobid", "duration", "least")
 
 
 @query("SELECT v AS uniq_id, count(*) AS asked, count(*) FILTER (least >= 4) AS met FROM during GROUP BY v", _S, _T, _A, _SEG, _DURING)
 def planner_avail_during(spark: SparkSession, sf_dir: str) -> DataFrame:
-    least = timeline.during(_timeline(spark, sf_dir), _asked(spark, sf_dir).withColumn("duration", F.lit(10).cast("bigint")))
-    return least.groupBy("uniq_id").agg(F.count("*").alias("asked"), F.count_if(F.col("least") >= 4).alias("met"))
+    return _least(spark, sf_dir).groupBy("uniq_id").agg(F.count("*").alias("asked"), F.count_if(F.col("least") >= 4).alias("met"))
+
 
+#: One new span a job, and whether it fits beside those before it: a pool's spans are tried one by one.
+_NEW = """
+one AS (SELECT (1000 + min(l_suppkey))::BIGINT AS v, o_orderkey + 100000000 AS jobid, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate),
+nw AS (SELECT *, st + 10 AS last, 12::BIGINT AS n, row_number() OVER (PARTITION BY v ORDER BY jobid) AS k FROM one),
+lv AS (SELECT nw.v, nw.k, list(struct_pack(a := greatest(seg.tm, nw.st), r := seg.remaining) ORDER BY seg.tm) AS lv FROM nw JOIN seg ON seg.v = nw.v AND seg.tm < nw.last AND (seg.until IS NULL OR seg.until > nw.st) GROUP BY nw.v, nw.k),
+fo AS (SELECT DISTINCT v, 0::BIGINT AS k, []::STRUCT(st BIGINT, last BIGINT, n BIGINT)[] AS acc FROM nw
+ UNION ALL SELECT fo.v, nw.k, CASE WHEN list_min(list_transform(list_concat(list_transform(lv.lv, lambda x: x.a), list_transform(list_filter(fo.acc, lambda y: y.st > nw.st AND y.st < nw.last), lambda y: y.st)),
+   lambda t: list_filter(lv.lv, lambda x: x.a <= t)[-1].r - coalesce(list_sum(list_transform(list_filter(fo.acc, lambda y: y.st <= t AND y.last > t), lambda y: y.n)), 0))) >= nw.n
+  THEN list_append(fo.acc, struct_pack(st := nw.st, last := nw.last, n := nw.n)) ELSE fo.acc END
+ FROM fo JOIN nw ON nw.v = fo.v AND nw.k = fo.k + 1 JOIN lv ON lv.v = nw.v AND lv.k = nw.k),
+ad AS (SELECT v, arg_max(acc, k) AS acc FROM fo GROUP BY v)"""
 
-_NEW = "nw AS (SELECT v, jobid + 100000000 AS jobid, tm AS st, tm + 10 AS last, 3::BIGINT AS n FROM during WHERE least >= 3)"
 
+def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = model.spans(spark, sf_dir).groupBy("jobid").agg(F.min("uniq_id").alias("uniq_id"))
+    orders = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("jobid"), model.day(F.col("o_orderdate")).alias("st"))
+    return first.join(orders, "jobid").select("uniq_id", (F.col("jobid") + 100_000_000).alias("jobid"), "st", (F.col("st") + 10).alias("last"), F.lit(12).cast("bigint").alias("planned"))
 
-@query("SELECT v AS uniq_id, count(*) AS spans, sum(n)::BIGINT AS units FROM (SELECT v, n FROM sp UNION ALL SELECT v, n FROM nw) GROUP BY v", _S, _T, _A, _SEG, _DURING, _NEW)
+
+@query("SELECT sp.v AS uniq_id, count(*) + coalesce(max(len(ad.acc)), 0) AS spans, (sum(n) + coalesce(max(len(ad.acc)), 0) * 12)::BIGINT AS units FROM sp LEFT JOIN ad ON ad.v = sp.v GROUP BY sp.v", _S, _T, _SEG, _NEW)
 def planner_add_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _asked(spark, sf_dir).select("uniq_id", (F.col("jobid") + 100_000_000).alias("jobid"), F.col("tm").alias("st"), (F.col("tm") + 10).alias("last"), F.lit(3).cast("bigint").alias("planned"))
-    return timeline.add_spans(model.spans(spark, sf_dir), _timeline(spark, sf_dir), new).groupBy("uniq_id").agg(F.count("*").alias("spans"), F.sum("planned").alias("units"))
+    added = timeline.add_spans(model.spans(spark, sf_dir), _written(spark, sf_dir), _new(spark, sf_dir))
+    return added.groupBy("uniq_id").agg(F.count("*").alias("spans"), F.sum("planned").alias("units"))
 
 
 @query("SELECT v AS uniq_id, tm, sum(sum(d)) OVER (PARTITION BY v ORDER BY tm)::BIGINT AS used FROM (SELECT v, st AS tm, n AS d FROM sp WHERE jobid % 5 <> 0 UNION ALL SELECT v, last, -n FROM sp WHERE jobid % 5 <> 0) GROUP BY v, tm", _S)
@@ -179,9 +207,7 @@ _MT = _points("ml", "ms", "v, rtype")
 
 
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = model.multi_spans(spark, sf_dir)
-    by = ("uniq_id", "rtype")
-    return timeline.timeline(spans, timeline.peaks(spans, by), by)
+    return timeline.peak_timeline(model.multi_spans(spark, sf_dir), ("uniq_id", "rtype"))
 
 
 @query("SELECT v AS uniq_id, min(tm) AS tm FROM (SELECT v, tm, bool_and(m >= CASE rtype WHEN 'core' THEN 8 WHEN 'gpu' THEN 1 ELSE 60 END) AS ok FROM (SELECT *, min(remaining) OVER (PARTITION BY v, rtype ORDER BY tm RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM ml) WHERE tm >= 300 GROUP BY v, tm HAVING count(*) = 3) WHERE ok GROUP BY v", _S, _M, _MT)
@@ -208,6 +234,23 @@ def planner_multi_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.reduce_spans(model.multi_spans(spark, sf_dir), less, ("jobid", "rtype")).select("uniq_id", "jobid", "rtype", "st", "last", "planned")
 
 
+@query("SELECT v AS uniq_id, bool_and(least >= CASE rtype WHEN 'core' THEN 8 WHEN 'gpu' THEN 1 ELSE 60 END) AS met FROM (SELECT v, rtype, min(remaining) AS least FROM (SELECT *, lead(tm) OVER (PARTITION BY v, rtype ORDER BY tm) AS until FROM ml) WHERE tm < 330 AND (until IS NULL OR until > 300) GROUP BY v, rtype) GROUP BY v", _S, _M, _MT)
+def planner_multi_avail_during(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each pool has enough of every type over a month."""
+    points = _kept(_multi(spark, sf_dir), "points")
+    wanted = F.when(F.col("rtype") == "core", 8).when(F.col("rtype") == "gpu", 1).otherwise(60)
+    asked = points.select("uniq_id", "rtype", F.lit(300).cast("bigint").alias("tm"), F.lit(30).cast("bigint").alias("duration")).distinct()
+    return timeline.during(points, asked, ("uniq_id", "rtype")).groupBy("uniq_id").agg(F.bool_and(F.col("least") >= wanted).alias("met"))
+
+
+@query("SELECT v AS uniq_id, rtype, tm, CASE rtype WHEN 'core' THEN 100 ELSE 900 END - used AS remaining, CASE rtype WHEN 'core' THEN 100 ELSE 900 END::BIGINT AS total FROM ml_run WHERE rtype <> 'gpu' UNION ALL SELECT DISTINCT v, 'disk', 0, 7, 7 FROM sp", _S, _M, _MT)
+def planner_multi_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timelines after totals were changed, a type was taken away and one came new."""
+    spans = model.multi_spans(spark, sf_dir)
+    totals = spans.select("uniq_id").distinct().select("uniq_id", F.inline(F.array(*[F.struct(F.lit(t).alias("rtype"), F.lit(n).cast("bigint").alias("total")) for t, n in (("core", 100), ("memory", 900), ("disk", 7))])))
+    return timeline.timeline(spans, totals, ("uniq_id", "rtype"))
+
+
 # The hierarchy.
 
 
@@ -304,7 +347,7 @@ def _find_sql(condition: str) -> str:
 def _found(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     # What a search reads more than once is written first, as a session of searches would keep it.
     pairs = _kept(_pairs(spark, sf_dir), "pairs")
-    stated = _kept(find.states(_held(spark, sf_dir), model.spans(spark, sf_dir), pairs, model.NOW), "states")
+    stated = _kept(find.states(_held(spark, sf_dir), model.spans(spark, sf_dir), pairs, model.NOW, predicates.jobs_of(text)), "states")
     return find.find(stated, pairs, predicates.criteria(text)).select("uniq_id", "name", "hit")
 
 
@@ -323,6 +366,12 @@ def find_jobid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "jobid-span=7 or jobid-span=8")
 
 
+@query(_find_sql("v.uniq_id IN (SELECT cl.a FROM cl JOIN sp ON sp.v = cl.b WHERE jobid = 7) AND NOT down"), _V, _E, _C, _S, _ST)
+def find_jobid_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools on or above a job's spans, that are up."""
+    return _found(spark, sf_dir, "jobid-tag=7 status=up")
+
+
 @query(_find_sql("v.type = 'node' AND v.uniq_id <> 0"), _V, _E, _C, _S, _ST)
 def find_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "property=perf_class")
@@ -408,6 +457,35 @@ def match_first_stop_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.best(_sockets(spark, sf_dir), F.lit(10).cast("bigint"), ["parent"], [F.col("free").desc(), F.col("uniq_id").desc()], "free").select("uniq_id", "parent", "taken")
 
 
+def _noded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sockets by rack, with the node above."""
+    return _sockets(spark, sf_dir).select("*", F.split("path", "/")[2].alias("rack"), F.col("rank").alias("node_id"), F.col("parent").alias("node"))
+
+
+_RACKED = "(SELECT *, string_split(path, '/')[3] AS rack FROM fr WHERE type = 'socket' AND free > 0)"
+_LONODE = _best_sql("(rank + 2) * 10000 + abs((rank + 100) % 10000 - 1) + id, uniq_id", "100", "rack", _RACKED)
+
+
+@query("SELECT DISTINCT ch.parent AS node, cl.b AS uniq_id FROM (" + _LONODE + ") ch JOIN cl ON cl.a = ch.parent", _V, _E, _C, _S, _T, _SEG, _F)
+def match_lonodex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low ids node by node, and all that is below the nodes that are then taken whole."""
+    chosen = policy.choose(_noded(spark, sf_dir), F.lit(100).cast("bigint"), ["rack"], "lonodex", "free")
+    return policy.whole_nodes(chosen, _held(spark, sf_dir), _pairs(spark, sf_dir))
+
+
+@query(_best_sql("free DESC, uniq_id DESC", "100", "rack", _RACKED), _V, _E, _S, _T, _SEG, _F)
+def match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is met first: most free first."""
+    return policy.choose(_noded(spark, sf_dir), F.lit(100).cast("bigint"), ["rack"], "first", "free").select("uniq_id", "parent", "taken")
+
+
+@query("SELECT cl.a AS uniq_id, 1000000000 + ch.parent AS jobid, sum(taken)::BIGINT AS planned FROM (" + _best_sql("id") + ") ch JOIN cl ON cl.b = ch.uniq_id GROUP BY cl.a, ch.parent", _V, _E, _C, _S, _T, _SEG, _F)
+def commit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What jobs hold on and above their pools, once each node's match is held by a job of its own."""
+    chosen = policy.choose(_sockets(spark, sf_dir), F.lit(25).cast("bigint"), ["parent"], "low", "free")
+    return update.tags(update.commit(chosen, F.col("parent") + 1_000_000_000, model.NOW, 30), _pairs(spark, sf_dir))
+
+
 _MATCH = """
 s1 AS (SELECT *, sum(free) OVER (PARTITION BY parent ORDER BY id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(free) OVER (PARTITION BY parent)::BIGINT AS of_all FROM fr WHERE type = 'socket' AND free > 0),
 s AS (SELECT uniq_id, parent, least(free, 20 - (upto - free)) AS taken FROM s1 WHERE of_all >= 20 AND upto - free < 20),
@@ -488,15 +566,15 @@ def or_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MANY = """
 gr AS (SELECT (1000 + s_suppkey)::BIGINT AS v, (100 + s_nationkey)::BIGINT AS grp FROM supplier),
 sh AS (SELECT gr.grp, seg.v, tm - 4 AS low, coalesce(until, 1 << 60) AS high FROM seg JOIN gr ON gr.v = seg.v WHERE remaining < 20),
-ca AS (SELECT DISTINCT grp, high AS tm FROM sh WHERE high BETWEEN 1000 AND 1200 UNION SELECT DISTINCT grp, 1000 FROM gr),
+ca AS (SELECT DISTINCT grp, high AS tm FROM sh WHERE high BETWEEN 1000 AND 1000000 UNION SELECT DISTINCT grp, 1000 FROM gr),
 ok AS (SELECT ca.grp, ca.tm, (SELECT count(*) FROM gr WHERE gr.grp = ca.grp) - count(DISTINCT sh.v) AS n FROM ca LEFT JOIN sh ON sh.grp = ca.grp AND sh.low <= ca.tm AND sh.high > ca.tm GROUP BY ca.grp, ca.tm)"""
 
 
 @query("SELECT grp, min(tm)::BIGINT AS tm FROM ok WHERE n >= 2 GROUP BY grp", _S, _T, _SEG, _MANY)
 def match_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When first two sockets of a node have 20 units for five days, of the next 200 days."""
+    """When first two sockets of a node have 20 units for five days."""
     groups = model.edges(spark, sf_dir).where("subsystem = 'containment' AND src >= 100").select(F.col("dst").alias("uniq_id"), F.col("src").alias("grp"))
-    return timeline.earliest_for_many(_timeline(spark, sf_dir), groups, wanted=20, duration=5, members=2, after=1000).where("tm <= 1200")
+    return timeline.earliest_for_many(_timeline(spark, sf_dir), groups, wanted=20, duration=5, members=2, after=1000)
 
 
 # Changes of state.
@@ -545,10 +623,36 @@ def set_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("uniq_id", "status", F.map_contains_key("properties", F.lit("tag")).alias("has_tag"), tagged.alias("tag"), F.map_contains_key("properties", F.lit("perf_class")).alias("has_class"))
 
 
-@query("SELECT DISTINCT a.v AS uniq_id, a.jobid, a.st, a.last FROM sp a JOIN sp b ON a.v = b.v AND a.jobid <> b.jobid AND b.st < a.last AND b.last > a.st WHERE a.jobid % 50 = 0", _S)
+@query("SELECT DISTINCT a.v AS uniq_id, a.jobid, a.st, a.last FROM sp a JOIN sp b ON a.v = b.v AND a.jobid <> b.jobid AND b.st < a.last AND b.last > a.st", _S)
 def update_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = model.spans(spark, sf_dir)
-    return update.conflicts(spans, spans.where("jobid % 50 = 0").select("uniq_id", "jobid", "st", "last").distinct())
+    return update.conflicts(spans, spans.select("uniq_id", "jobid", "st", "last").distinct())
+
+
+_LATE = "lt AS (SELECT (1000 + min(l_suppkey))::BIGINT AS v, o_orderkey + 100000000 AS jobid, 2 * datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)"
+
+
+@query("SELECT v AS uniq_id, count(*) AS spans, count(*) FILTER (jobid >= 100000000) AS added FROM (SELECT v, jobid FROM sp UNION ALL SELECT v, jobid FROM lt WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.v = lt.v AND sp.st < lt.st + 10 AND sp.last > lt.st)) GROUP BY v", _S, _LATE)
+def update_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans after jobs were put on their first pool at twice their day, but for those whose pool is held then."""
+    new = _new(spark, sf_dir).withColumns({"st": F.col("st") * 2, "last": F.col("st") * 2 + 10})
+    spans, _ = update.apply(model.spans(spark, sf_dir), new)
+    return spans.groupBy("uniq_id").agg(F.count("*").alias("spans"), F.count_if(F.col("jobid") >= 100_000_000).alias("added"))
+
+
+@query("SELECT uniq_id, path, size FROM v WHERE type <> 'tenant' UNION ALL SELECT 20000000 + uniq_id, '/cluster1' || substr(path, 10), size FROM v WHERE type IN ('rack', 'node')", _V)
+def grow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools with a second cluster's racks and nodes grafted; what is there already isn't added again."""
+    pools = _held(spark, sf_dir)
+    second = pools.where("type IN ('rack', 'node')").withColumns({"uniq_id": F.col("uniq_id") + 20_000_000, "path": F.concat(F.lit("/cluster1"), F.expr("substring(path, 10)"))})
+    return update.graft(pools, second.unionByName(pools.where("type = 'rack'"))).select("uniq_id", "path", "size")
+
+
+@query("SELECT uniq_id, path FROM v WHERE type <> 'tenant' AND uniq_id NOT IN (SELECT cl.b FROM cl WHERE cl.a IN (SELECT uniq_id FROM v WHERE status = 'down'))", _V, _E, _C)
+def remove_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools without those that are down and all below these."""
+    pools = _held(spark, sf_dir)
+    return update.prune(pools, _pairs(spark, sf_dir), pools.where("status = 'down'").select("uniq_id")).select("uniq_id", "path")
 
 
 @query("SELECT src AS parent FROM ed WHERE src >= 100 AND subsystem = 'containment' GROUP BY src HAVING bool_and(dst IN (SELECT v FROM sp WHERE st <= 400 AND last > 400))", _E, _S)
@@ -584,11 +688,6 @@ def queue_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.counters(model.jobs(spark, sf_dir), state)
 
 
-@query()
-def fcfs_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.first_come(model.jobs(spark, sf_dir), nodes=7)
-
-
 @query("SELECT jobid, round, estimate FROM (SELECT *, lag(estimate) OVER w AS b, row_number() OVER w AS i FROM (SELECT jobid, n AS round, max(last // 30) AS estimate FROM sp GROUP BY jobid, n) WINDOW w AS (PARTITION BY jobid ORDER BY round)) WHERE i = 1 OR estimate IS DISTINCT FROM b", _S)
 def estimate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = model.spans(spark, sf_dir).groupBy("jobid", F.col("planned").alias("round")).agg(F.max(F.floor(F.col("last") / 30)).alias("estimate"))
@@ -634,6 +733,30 @@ def resources_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.rank_units(text.select(F.from_json("resources", readers.RESOURCES).alias("r")).select("r.*"))
 
 
+@query(
+    "SELECT type, name, id, rank, path, has FROM (SELECT 'cluster' AS type, 'cluster0' AS name, 0::BIGINT AS id, -1::BIGINT AS rank, '/cluster0' AS path, 0 AS has UNION ALL SELECT 'node', 'node' || n_nationkey, n_nationkey, n_nationkey, '/cluster0/node' || n_nationkey, 2 FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT 'socket', 'socket' || s_suppkey, s_suppkey, s_nationkey, '/cluster0/node' || s_nationkey || '/socket' || s_suppkey, 0 FROM supplier)"
+)
+def resource_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools of what ranks hold, written with hosts and properties and read as a graph."""
+    sockets = _held(spark, sf_dir).where("type = 'socket'").select("rank", "type", "id")
+    nodes = _held(spark, sf_dir).where("type = 'node'").join(sockets.select("rank").distinct(), "rank", "left_semi")
+    text = writers.resources(writers.rank_lists(sockets), 0, 100, nodes.select("rank", F.col("name").alias("host")), writers.property_ranks(nodes))
+    vertices, _ = readers.rank_graph(text.select(F.from_json("resources", readers.RESOURCES).alias("r")).select("r.*"))
+    return vertices.select("type", "name", "id", "rank", "path", F.size("properties").alias("has"))
+
+
+@query("SELECT uniq_id, repeat('   ', len(string_split(path, '/')) - 2) || name || '[' || size || ':' || CASE WHEN type = 'socket' THEN 'exclusive' ELSE 'shared' END || ']' AS line, path AS place FROM v WHERE type <> 'tenant'", _V)
+def pretty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir).select("uniq_id", writers.line(F.col("size"), F.col("type") == "socket", long=True).alias("line"), writers.sort_key().alias("place"))
+
+
+@query("SELECT 'socket' AS type, i AS id, '/r' || r_regionkey || '/socket' || i AS path FROM (SELECT r_regionkey, unnest(range(r_regionkey * 3, r_regionkey * 3 + 3)) AS i FROM region)")
+def recipe_multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pools below each row of a table."""
+    above = model.table(spark, sf_dir, "region").select(F.concat(F.lit("/r"), F.col("r_regionkey").cast("string")).alias("path"), F.col("r_regionkey").cast("bigint").alias("ordinal"))
+    return readers.multiply(above, "socket", F.lit(3)).drop("ordinal")
+
+
 @query("SELECT property, ranks FROM " + _ranges("(SELECT n_nationkey::BIGINT AS rank, n_name AS property FROM nation UNION ALL SELECT n_nationkey, 'perf_class=' || n_nationkey % 7 FROM nation)", "property", "rank", "ranks"))
 def property_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.property_ranks(_held(spark, sf_dir).where("type = 'node'"))
@@ -686,7 +809,7 @@ def graph_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS n, count(*)::BIGINT AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type, of days that no event can be late for any more."""
     events = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir))

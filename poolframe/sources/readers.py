@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from poolframe.functions.counts import host_number
 from poolframe.functions.idset import decode
@@ -17,6 +18,17 @@ GRAPH = (
 RESOURCES = "version int, execution struct<R_lite: array<struct<rank: string, children: map<string,string>>>, nodelist: array<string>, properties: map<string,string>, starttime: bigint, expiration: bigint>"
 
 
+def multiply(above: DataFrame, kind: str, number: Column, first: int = 0, stride: int = 1) -> DataFrame:
+    """type, id, path of `number` pools (a column) below each of `above` (path, ordinal), with ordinal for the next level.
+
+    Ids count on over the whole level if all have the same number below them.
+    """
+    rows = above.select(F.col("ordinal").alias("before"), "path", number.cast("bigint").alias("many")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("many") - 1)).alias("n"))
+    ordinal = F.col("before") * F.col("many") + F.col("n")
+    id = (first + ordinal * stride).cast("bigint")
+    return rows.where("many > 0").select(F.lit(kind).alias("type"), id.alias("id"), ordinal.alias("ordinal"), F.concat("path", F.lit(f"/{kind}"), id.cast("string")).alias("path"))
+
+
 def expand(spark: SparkSession, root: str, levels: Sequence[tuple[str, int, int, int]]) -> DataFrame:
     """type, id, path of the pools of a recipe: a root, and levels (type, number for each above, first id, stride).
 
@@ -66,12 +78,16 @@ def rank_units(df: DataFrame) -> DataFrame:
 
 
 def rank_hosts(df: DataFrame) -> DataFrame:
-    """rank, host: hosts in turn are those of the ranks in ascending order."""
+    """rank, host: hosts in turn are those of the ranks in ascending order.
+
+    Ranks are numbered by stretches of 4096 and within these, so no task numbers all of them.
+    """
     hosts = df.select(F.posexplode("execution.nodelist").alias("place", "host"))
     ranks = df.select(F.explode("execution.R_lite").alias("r")).select(F.col("r.rank").alias("ranks"))
-    every = decode(ranks, "ranks", "rank").select("rank").distinct().agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
-    placed = every.select(F.posexplode("ranks").alias("place", "rank"))
-    return placed.join(hosts, "place").select("rank", "host")
+    every = decode(ranks, "ranks", "rank").select("rank").distinct().withColumn("stretch", F.floor(F.col("rank") / 4096))
+    before = every.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))
+    placed = every.withColumn("n", F.row_number().over(Window.partitionBy("stretch").orderBy("rank"))).join(before, "stretch")
+    return placed.select("rank", (F.col("before") + F.col("n") - 1).cast("int").alias("place")).join(hosts, "place").select("rank", "host")
 
 
 def rank_properties(df: DataFrame) -> DataFrame:
@@ -80,6 +96,36 @@ def rank_properties(df: DataFrame) -> DataFrame:
     return decode(each, "ranks", "rank").groupBy("rank").agg(F.sort_array(F.collect_set("name")).alias("properties"))
 
 
+def rank_property_values(df: DataFrame) -> DataFrame:
+    """rank, properties: the same as a map; "name=value" sets a value, a name alone an empty one."""
+    each = decode(df.select(F.explode("execution.properties").alias("given", "ranks")), "ranks", "rank").select("rank", "given").distinct()
+    named = each.select("rank", F.substring_index("given", "=", 1).alias("name"), F.expr("substring(given, length(substring_index(given, '=', 1)) + 2)").alias("value"))
+    one = named.groupBy("rank", "name").agg(F.max("value").alias("value"))
+    return one.groupBy("rank").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
+def rank_graph(df: DataFrame, root: str = "cluster") -> tuple[DataFrame, DataFrame]:
+    """Vertices (type, name, id, rank, size, status, path, properties) and edges (above, path) of rows with `execution`.
+
+    A root, below it a node for each rank, named as its host, and below a node its rank's units.
+    """
+    none = F.create_map().cast("map<string,string>")
+    top = f"/{root}0"
+
+    def row(rows: DataFrame, kind: Column, name: Column, id: Column, rank: Column, path: Column, properties: Column = none) -> DataFrame:
+        columns = {"type": kind, "name": name, "id": id.cast("bigint"), "rank": rank.cast("bigint"), "size": F.lit(1).cast("bigint"), "status": F.lit("up"), "path": path, "properties": properties}
+        return rows.select(*[c.alias(n) for n, c in columns.items()])
+
+    hosts = rank_hosts(df).withColumn("above", F.concat(F.lit(f"{top}/"), "host"))
+    nodes = hosts.join(rank_property_values(df), "rank", "left")
+    units = rank_units(df).join(hosts, "rank").withColumn("unit", F.concat("type", F.col("id").cast("string")))
+    first = row(df.sparkSession.range(1), F.lit(root), F.lit(f"{root}0"), F.lit(0), F.lit(-1), F.lit(top))
+    vertices = first.unionByName(row(nodes, F.lit("node"), F.col("host"), host_number(F.col("host")), F.col("rank"), F.col("above"), F.coalesce("properties", none)))
+    vertices = vertices.unionByName(row(units, F.col("type"), F.col("unit"), F.col("id"), F.col("rank"), F.concat("above", F.lit("/"), "unit")))
+    edges = hosts.select(F.lit(top).alias("above"), F.col("above").alias("path")).unionByName(units.select("above", F.concat("above", F.lit("/"), "unit").alias("path")))
+    return vertices, edges
+
+
 def allowed(vertices: DataFrame, types: str) -> DataFrame:
     """Vertices of the types in a comma list; an empty list allows all."""
     chosen = [t.strip() for t in types.split(",") if t.strip()]

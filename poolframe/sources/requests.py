@@ -9,7 +9,7 @@ _LEAF = "type: string, count: string, unit: string, exclusive: boolean, label: s
 
 
 def _schema(levels: int) -> str:
-    inner = _LEAF
+    inner = f"{_LEAF}, `with`: string"
     for _ in range(levels - 1):
         inner = f"{_LEAF}, `with`: array<struct<{inner}>>"
     return f"version int, resources array<struct<{inner}>>, attributes struct<system: struct<duration: double, queue: string>>"
@@ -27,19 +27,33 @@ def requests(jobs: DataFrame, text: str = "jobspec", levels: int = 4) -> DataFra
     """jobid, req, parent, depth, type, cmin, cmax, oper, operand, exclusive, label and duration of every request.
 
     `req` is the path of places from the outermost in. What is nested deeper than `levels`, text that isn't JSON
-    and requests without a type or a smallest count bring no row. A duration is rounded up to whole seconds.
+    and requests without a type or a smallest count bring no row: `rejected` names them. A duration is rounded up to whole seconds.
     """
+    return _every(jobs, text, levels).where("type IS NOT NULL AND cmin IS NOT NULL").drop("deeper")
+
+
+def rejected(jobs: DataFrame, text: str = "jobspec", levels: int = 4) -> DataFrame:
+    """jobid, req, problem of what `requests` has no row for: text without requests, and requests at fault."""
+    rows = _every(jobs, text, levels)
+    reason = F.when(F.col("type").isNull(), "no type").when(F.col("cmin").isNull(), "no count").when(F.col("deeper"), "nested too deep")
+    at_fault = rows.select("jobid", "req", reason.alias("problem")).where("problem IS NOT NULL")
+    parsed = F.from_json(text, _schema(levels))
+    empty = jobs.where(parsed["resources"].isNull() | (F.size(parsed["resources"]) == 0)).select("jobid", F.lit(None).cast("string").alias("req"), F.lit("no requests").alias("problem"))
+    return at_fault.unionByName(empty)
+
+
+def _every(jobs: DataFrame, text: str, levels: int) -> DataFrame:
     parsed = jobs.select("jobid", F.from_json(text, _schema(levels)).alias("j"))
     duration = F.ceil("j.attributes.system.duration").cast("bigint")
     level = parsed.select("jobid", duration.alias("duration"), F.lit(None).cast("string").alias("parent"), F.posexplode("j.resources").alias("place", "r"))
     out = None
     for depth in range(levels):
         req = F.concat_ws(".", F.col("parent"), F.col("place").cast("string"))
-        rows = level.select("jobid", req.alias("req"), "parent", F.lit(depth).alias("depth"), F.col("r.type").alias("type"), *_counts(F.col("r.count")), F.col("r.exclusive").alias("exclusive"), F.col("r.label").alias("label"), "duration")
+        rows = level.select("jobid", req.alias("req"), "parent", F.lit(depth).alias("depth"), F.col("r.type").alias("type"), *_counts(F.col("r.count")), F.col("r.exclusive").alias("exclusive"), F.col("r.label").alias("label"), "duration", (F.col("r.with").isNotNull() if depth == levels - 1 else F.lit(False)).alias("deeper"))
         out = rows if out is None else out.unionByName(rows)
         if depth < levels - 1:
             level = level.select("jobid", "duration", req.alias("parent"), F.posexplode("r.with").alias("place", "r"))
-    return out.where("type IS NOT NULL AND cmin IS NOT NULL")
+    return out
 
 
 def problems(rows: DataFrame) -> DataFrame:

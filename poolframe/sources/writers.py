@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from poolframe.functions.idset import encode
 
 
-def line(needs: Column, exclusive: Column) -> Column:
-    """name[units:x or s], indented by the depth of the path."""
+def line(needs: Column, exclusive: Column, long: bool = False) -> Column:
+    """name[units:x or s], indented by the depth of the path; with `long` the mode is a word."""
     depth = F.size(F.split("path", "/")) - 2
-    return F.concat(F.repeat(F.lit("   "), depth), F.col("name"), F.lit("["), needs.cast("string"), F.lit(":"), F.when(exclusive, "x").otherwise("s"), F.lit("]"))
+    return F.concat(F.repeat(F.lit("   "), depth), F.col("name"), F.lit("["), needs.cast("string"), F.lit(":"), F.when(exclusive, "exclusive" if long else "x").otherwise("shared" if long else "s"), F.lit("]"))
 
 
 def sort_key(depth_first: bool = False) -> Column:
@@ -73,10 +73,25 @@ def property_ranks(vertices: DataFrame) -> DataFrame:
     return encode(named, ["property"], "rank", "ranks")
 
 
-def resources(lists: DataFrame, start: int, expiration: int) -> DataFrame:
-    """One row with the JSON of rank lists (ranks, children): as many entries as there are kinds of nodes."""
+def resources(lists: DataFrame, start: int, expiration: int, hosts: DataFrame | None = None, properties: DataFrame | None = None, graph: DataFrame | None = None) -> DataFrame:
+    """One row with the JSON of rank lists (ranks, children): as many entries as there are kinds of nodes.
+
+    With hosts (rank, host), properties (property, ranks) and a graph (one row, graph: JSON) it names these too. The
+    text is one value, so what goes in is a match, not a machine room.
+    """
     pairs = F.transform(F.split("children", " "), lambda c: F.struct(F.substring_index(c, "=", 1).alias("k"), F.substring_index(c, "=", -1).alias("v")))
     entry = F.struct(F.col("ranks").alias("rank"), F.map_from_entries(pairs).alias("children"))
     entries = lists.agg(F.collect_list(entry).alias("R_lite"))
-    execution = F.struct("R_lite", F.lit(start).alias("starttime"), F.lit(expiration).alias("expiration"))
-    return entries.select(F.to_json(F.struct(F.lit(1).alias("version"), execution.alias("execution"))).alias("resources"))
+    fields = ["R_lite"]
+    if hosts is not None:
+        listed = hosts.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "host"))), lambda x: x["host"]).alias("nodelist"))
+        entries, fields = entries.join(F.broadcast(listed)), [*fields, "nodelist"]
+    if properties is not None:
+        named = properties.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("property", "ranks")))).alias("properties"))
+        entries, fields = entries.join(F.broadcast(named)), [*fields, "properties"]
+    execution = F.struct(*fields, F.lit(start).alias("starttime"), F.lit(expiration).alias("expiration"))
+    parts = [F.lit(1).alias("version"), execution.alias("execution")]
+    if graph is not None:
+        entries = entries.join(F.broadcast(graph.select(F.try_parse_json("graph").alias("scheduling"))))
+        parts.append(F.col("scheduling"))
+    return entries.select(F.to_json(F.struct(*parts)).alias("resources"))

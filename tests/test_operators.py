@@ -52,12 +52,13 @@ def test_closure(tiny):
         ("names=core[100-101],node13", [13, 100, 101]),
         ("jobid-alloc=7 or jobid-reserved=8 and status=down", []),
         ("jobid-alloc=7 or (jobid-reserved=8 and status=up)", [100, 104]),
+        ("jobid-tag=8", [0, 2, 12, 104]),
         ("agfilter=t", None),
     ],
 )
 def test_find(tiny, text, hits):
     vertices, _, spans, pairs = tiny
-    stated = find.states(vertices, spans, pairs, 3)
+    stated = find.states(vertices, spans, pairs, 3, predicates.jobs_of(text))
     got = find.find(stated, pairs, predicates.criteria(text))
     assert ids(got.where("hit")) == (hits if hits is not None else ids(vertices))
     if hits == [100]:
@@ -190,12 +191,12 @@ def test_updates(tiny):
     assert ids(find.free_of(vertices, spans, pairs, 5, 6)) == [11, 13, 101, 102, 103, 104, 106, 107]
 
 
-def test_first_come(spark):
-    rows = [(1, "q", 16, 0, 10, 2), (2, "q", 16, 1, 5, 2), (3, "q", 16, 2, 1, 1), (4, "q", 31, 50, 1, 9), (5, "r", 1, 3, 1, 1)]
-    df = spark.createDataFrame(rows, "jobid long, queue string, priority long, t_submit long, duration long, nodes long")
-    got = {r.jobid: (r.start, r.state) for r in jobs.first_come(df, 3).collect()}
-    assert got == {1: (0, "started"), 2: (10, "started"), 3: (10, "started"), 4: (None, "rejected"), 5: (3, "started")}
-    assert [r.jobid for r in jobs.lines(df, 2).where("queue = 'q'").orderBy("place").collect()] == [4, 1]
+def test_lines(spark):
+    rows = [(1, "q", 16, 0), (2, "q", 16, 1), (3, "q", 31, 50), (5, "r", 1, 3)]
+    df = spark.createDataFrame(rows, "jobid long, queue string, priority long, t_submit long")
+    assert [r.jobid for r in jobs.lines(df, 2).where("queue = 'q'").orderBy("place").collect()] == [3, 1]
+    kinds = spark.createDataFrame([(True, 1), (False, 1), (False, 0)], "reserved boolean, n int").select(jobs.start_kind(F.col("reserved"), F.col("n")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["reserved", "backfill", "immediate"]
 
 
 def test_readers_and_writers(spark, tiny, tmp_path):
@@ -249,3 +250,64 @@ def test_windows(spark):
     df = spark.createDataFrame([(1, 5, 1.2), (2, 90, 30.0), (3, 3, 0.0), (4, 100, 1.0), (5, 1, -1.0)], "jobid long, at long, duration double")
     got = {r.jobid: (r.until, r.state) for r in jobs.windows(df, 0, 100).collect()}
     assert got[1] == (7, "ok") and got[2] == (100, "ok") and got[3] == (100, "ok") and got[4][1] == "busy" and got[5][1] == "invalid"
+
+
+def test_any_depth(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    assert closure.closure(chain).count() == 13 * 14 // 2
+    assert closure.closure(chain, 12).count() == 13 * 14 // 2
+    with pytest.raises(Exception, match="deeper"):
+        closure.closure(chain, 8).collect()
+    with pytest.raises(ValueError, match="circle"):
+        closure.closure(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"), most=4)
+    nested = spark.createDataFrame([(1, i, i - 1 if i else None, f"t{i}", 2) for i in range(8)], "jobid long, req int, parent int, type string, cmin long")
+    assert {r.type: r.total for r in rollup.request_totals(nested).collect()} == {f"t{i}": 2 ** (i + 1) for i in range(8)}
+    with pytest.raises(Exception, match="deeper"):
+        rollup.request_totals(nested, levels=5).collect()
+
+
+def test_rejected_requests(spark):
+    from poolframe.sources import requests
+
+    deep = '{"resources": [' + '{"type": "a", "count": 1, "with": [' * 5 + "]}" * 5 + "]}"
+    rows = [(1, "no"), (2, '{"resources": [{"type": "node"}]}'), (3, '{"resources": [{"count": 1}]}'), (4, deep), (5, '{"resources": [{"type": "x", "count": 1}]}'), (6, None)]
+    got = {(r.jobid, r.problem) for r in requests.rejected(spark.createDataFrame(rows, "jobid long, jobspec string")).collect()}
+    assert got == {(1, "no requests"), (2, "no count"), (3, "no type"), (4, "nested too deep"), (6, "no requests")}
+
+
+@pytest.mark.parametrize("text", ["0-3,7", "node[08-11,3],r1", "node[0-2]", "5", "a,b-c"])
+def test_within_equals_members(spark, text):
+    names = [f"{p}{n}" for p in ("", "node", "r") for n in ("0", "1", "2", "3", "7", "8", "08", "09", "10", "11", "011", "5", "x", "")] + ["a", "b", "b-c"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name for r in rows.where(idset.within(F.col("name"), text)).collect()}
+    assert got == set(idset.members(text)) & set(names)
+
+
+def test_node_exclusive(tiny):
+    vertices, _, spans, pairs = tiny
+    chosen = spans.sparkSession.createDataFrame([(100,), (106,)], "uniq_id long")
+    got = policy.whole_nodes(chosen, vertices, pairs)
+    assert sorted(tuple(r) for r in got.collect()) == [(10, 10), (10, 100), (10, 101), (13, 13), (13, 106), (13, 107)]
+    assert policy.POLICIES["first"].node_centric and policy.POLICIES["firstnodex"].node_exclusive
+
+
+@pytest.mark.parametrize("name, taken", [("high", [(3, 5), (2, 1)]), ("low", [(1, 3), (2, 3)]), ("first", [(3, 5), (2, 1)]), ("locality", [(1, 3), (2, 3)]), ("variation", [(2, 4), (1, 2)])])
+def test_policies_choose(spark, name, taken):
+    rows = [("a", i, i, i, n, 0, 0, {"perf_class": c}) for i, n, c in ((1, 3, "5"), (2, 4, "1"), (3, 5, "x"))]
+    df = spark.createDataFrame(rows, "g string, id long, uniq_id long, k long, amount long, node_id long, node long, properties map<string,string>")
+    got = policy.choose(df, F.lit(6), ["g"], name).collect()
+    assert {(r.id, r.taken) for r in got} == set(taken)
+
+
+def test_conflicts_equal_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = [(p, rng.randrange(6), s := rng.randrange(30), s + rng.randint(0, 5), 1) for p in range(4) for _ in range(8)]
+    new = [(p, rng.randrange(8), s := rng.randrange(30), s + rng.randint(1, 5), 1) for p in range(5) for _ in range(8)]
+    schema = "uniq_id long, jobid long, st long, last long, planned long"
+    want = sorted(n for n in new if any(p == n[0] and j != n[1] and s < n[3] and e > n[2] for p, j, s, e, _ in spans))
+    held, asked = spark.createDataFrame(spans, schema), spark.createDataFrame(new, schema)
+    assert sorted(tuple(r) for r in update.conflicts(held, asked).collect()) == want
+    kept, refused = update.apply(held, asked)
+    assert kept.count() == len(spans) + sum(n[1] not in {w[1] for w in want} for n in new) and {r.jobid for r in refused.collect()} == {w[1] for w in want}

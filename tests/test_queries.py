@@ -29,7 +29,8 @@ def test_equals_its_sql(spark, duck, name):
     rows = [tuple(r[c] for c in columns) for r in df.collect()]
     sql = __spark_entry__.oracle_sql().get(name)
     if sql is None:
-        assert rows
+        # What SQL can't express is held against brute force in tests of its own.
+        assert name.startswith("op") and rows
         return
     found = duck.execute(sql)
     names = [d[0] for d in found.description]

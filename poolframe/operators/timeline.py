@@ -9,6 +9,7 @@ time to its window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -162,7 +163,8 @@ def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[
     crowded = both.select(*by, "tm", (-F.sum("change").over(Window.partitionBy(*by).orderBy("tm"))).alias("remaining"))
     asked = new.select(*by, "jobid", "st", "last", "planned", F.col("st").alias("tm"), (F.col("last") - F.col("st")).alias("duration"))
     tested = during(crowded, asked, by).withColumn("fits", F.coalesce(F.col("least") >= 0, F.lit(False)))
-    tested = tested.withColumn("fits", F.min("fits").over(Window.partitionBy(*who)))
+    # Read five times below: kept while it is needed, and made again if an executor is lost.
+    tested = tested.withColumn("fits", F.min("fits").over(Window.partitionBy(*who))).persist()
     sure, open_ = tested.where("fits"), tested.where("NOT fits")
     # Stretches: a span begins one if all before it in its pool have ended.
     before = Window.partitionBy(*pool).orderBy("st", "last", "jobid").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,18 +189,22 @@ def _in_turn(new: pd.DataFrame, levels: pd.DataFrame, kind: list[str], names: li
         part = part.sort_values("tm")
         at = np.searchsorted(part["tm"].to_numpy(), times, "right") - 1
         left[key] = np.where(at >= 0, part["remaining"].to_numpy()[np.maximum(at, 0)], 0)
-    taken = []
-    for (_, st, last), rows in new.groupby(["jobid", "st", "last"], sort=True):
+    new = new.sort_values(["jobid", "st", "last"], kind="stable")
+    kinds = list(zip(*(new[c].tolist() for c in kind), strict=True)) if kind else [()] * len(new)
+    rows = zip(*(new[c].tolist() for c in ("jobid", "st", "last")), kinds, new["planned"].tolist(), strict=True)
+    taken: list[bool] = []
+    for (_, st, last), same in groupby(rows, key=lambda r: r[:3]):
         low, high = np.searchsorted(times, [st, last])
-        wanted = [(tuple(r[c] for c in kind), r["planned"]) for _, r in rows.iterrows()]
         need: dict[tuple, int] = {}
-        for key, n in wanted:
+        n_rows = 0
+        for *_, key, n in same:
             need[key] = need.get(key, 0) + n
-        if all(key in left and (low == high or left[key][low:high].min() >= n) for key, n in need.items()):
-            for key, n in need.items():
-                left[key][low:high] -= n
-            taken.append(rows)
-    return pd.concat(taken)[names] if taken else new.iloc[:0][names]
+            n_rows += 1
+        fits = all(key in left and (low == high or left[key][low:high].min() >= n) for key, n in need.items())
+        for key, n in need.items() if fits else ():
+            left[key][low:high] -= n
+        taken += [fits] * n_rows
+    return new[names][np.array(taken, bool)]
 
 
 def remove_spans(spans: DataFrame, gone: DataFrame, on: Sequence[str] = ("jobid",)) -> DataFrame:

@@ -155,24 +155,25 @@ def planner_avail_during(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One new span a job, and whether it fits beside those before it: a pool's spans are tried one by one.
 _NEW = """
-one AS (SELECT (1000 + min(l_suppkey))::BIGINT AS v, o_orderkey + 100000000 AS jobid, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate),
-nw AS (SELECT *, st + 10 AS last, 12::BIGINT AS n, row_number() OVER (PARTITION BY v ORDER BY jobid) AS k FROM one),
-lv AS (SELECT nw.v, nw.k, list(struct_pack(a := greatest(seg.tm, nw.st), r := seg.remaining) ORDER BY seg.tm) AS lv FROM nw JOIN seg ON seg.v = nw.v AND seg.tm < nw.last AND (seg.until IS NULL OR seg.until > nw.st) GROUP BY nw.v, nw.k),
-fo AS (SELECT DISTINCT v, 0::BIGINT AS k, []::STRUCT(st BIGINT, last BIGINT, n BIGINT)[] AS acc FROM nw
- UNION ALL SELECT fo.v, nw.k, CASE WHEN list_min(list_transform(list_concat(list_transform(lv.lv, lambda x: x.a), list_transform(list_filter(fo.acc, lambda y: y.st > nw.st AND y.st < nw.last), lambda y: y.st)),
-   lambda t: list_filter(lv.lv, lambda x: x.a <= t)[-1].r - coalesce(list_sum(list_transform(list_filter(fo.acc, lambda y: y.st <= t AND y.last > t), lambda y: y.n)), 0))) >= nw.n
-  THEN list_append(fo.acc, struct_pack(st := nw.st, last := nw.last, n := nw.n)) ELSE fo.acc END
- FROM fo JOIN nw ON nw.v = fo.v AND nw.k = fo.k + 1 JOIN lv ON lv.v = nw.v AND lv.k = nw.k),
-ad AS (SELECT v, arg_max(acc, k) AS acc FROM fo GROUP BY v)"""
+one AS (SELECT (1000 + min(l_suppkey))::BIGINT AS v, o_orderkey AS jobid, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate),
+nw AS MATERIALIZED (SELECT *, st + 10 AS last, 12::BIGINT AS n, row_number() OVER (PARTITION BY v ORDER BY st, jobid) AS k FROM one),
+lv AS MATERIALIZED (SELECT nw.v, nw.k, list(struct_pack(a := greatest(seg.tm, nw.st), r := seg.remaining) ORDER BY seg.tm) AS lv FROM nw JOIN seg ON seg.v = nw.v AND seg.tm < nw.last AND (seg.until IS NULL OR seg.until > nw.st) GROUP BY nw.v, nw.k),
+tr AS (SELECT DISTINCT v, 0::BIGINT AS k, []::STRUCT(st BIGINT, last BIGINT, n BIGINT)[] AS acc, 0::BIGINT AS added FROM nw
+ UNION ALL SELECT v, k, CASE WHEN ok THEN list_append(near, struct_pack(st := st, last := last, n := n)) ELSE near END, added + CASE WHEN ok THEN 1 ELSE 0 END
+ FROM (SELECT *, list_min(list_transform(list_concat(list_transform(lv, lambda x: x.a), list_transform(near, lambda y: greatest(y.st, st))),
+   lambda t: list_filter(lv, lambda x: x.a <= t)[-1].r - coalesce(list_sum(list_transform(list_filter(near, lambda y: y.st <= t AND y.last > t), lambda y: y.n)), 0))) >= n AS ok
+  FROM (SELECT nw.v, nw.k, nw.st, nw.last, nw.n, lv.lv, tr.added, list_filter(tr.acc, lambda y: y.last > nw.st) AS near FROM tr JOIN nw ON nw.v = tr.v AND nw.k = tr.k + 1 JOIN lv ON lv.v = nw.v AND lv.k = nw.k))),
+ad AS (SELECT v, max(added) AS added FROM tr GROUP BY v)"""
 
 
 def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span of ten days on the first pool of each job, numbered in order of days."""
     first = model.spans(spark, sf_dir).groupBy("jobid").agg(F.min("uniq_id").alias("uniq_id"))
     orders = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("jobid"), model.day(F.col("o_orderdate")).alias("st"))
-    return first.join(orders, "jobid").select("uniq_id", (F.col("jobid") + 100_000_000).alias("jobid"), "st", (F.col("st") + 10).alias("last"), F.lit(12).cast("bigint").alias("planned"))
+    return first.join(orders, "jobid").select("uniq_id", ((F.col("st") + 100_000) * 10_000_000_000 + F.col("jobid")).alias("jobid"), "st", (F.col("st") + 10).alias("last"), F.lit(12).cast("bigint").alias("planned"))
 
 
-@query("SELECT sp.v AS uniq_id, count(*) + coalesce(max(len(ad.acc)), 0) AS spans, (sum(n) + coalesce(max(len(ad.acc)), 0) * 12)::BIGINT AS units FROM sp LEFT JOIN ad ON ad.v = sp.v GROUP BY sp.v", _S, _T, _SEG, _NEW)
+@query("SELECT sp.v AS uniq_id, count(*) + coalesce(max(ad.added), 0) AS spans, (sum(n) + coalesce(max(ad.added), 0) * 12)::BIGINT AS units FROM sp LEFT JOIN ad ON ad.v = sp.v GROUP BY sp.v", _S, _T, _SEG, _NEW)
 def planner_add_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = timeline.add_spans(model.spans(spark, sf_dir), _written(spark, sf_dir), _new(spark, sf_dir))
     return added.groupBy("uniq_id").agg(F.count("*").alias("spans"), F.sum("planned").alias("units"))
@@ -405,7 +406,8 @@ def constraint_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _free(spark: SparkSession, sf_dir: str, st: int = 400, duration: int = 30) -> DataFrame:
     """Sockets with what remains of their peaks over a window."""
-    least = timeline.during(_timeline(spark, sf_dir), timeline.peaks(model.spans(spark, sf_dir)).select("uniq_id", F.lit(st).cast("bigint").alias("tm"), F.lit(duration).cast("bigint").alias("duration")))
+    points = _written(spark, sf_dir)
+    least = timeline.during(points, points.select("uniq_id").distinct().select("uniq_id", F.lit(st).cast("bigint").alias("tm"), F.lit(duration).cast("bigint").alias("duration")))
     return _held(spark, sf_dir).join(least.select("uniq_id", F.col("least").alias("free")), "uniq_id", "left").withColumn("free", F.coalesce("free", "size"))
 
 
@@ -470,7 +472,7 @@ _LONODE = _best_sql("(rank + 2) * 10000 + abs((rank + 100) % 10000 - 1) + id, un
 def match_lonodex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Low ids node by node, and all that is below the nodes that are then taken whole."""
     chosen = policy.choose(_noded(spark, sf_dir), F.lit(100).cast("bigint"), ["rack"], "lonodex", "free")
-    return policy.whole_nodes(chosen, _held(spark, sf_dir), _pairs(spark, sf_dir))
+    return policy.whole_nodes(_kept(chosen.select("uniq_id"), "chosen"), _held(spark, sf_dir), _kept(_pairs(spark, sf_dir), "pairs"))
 
 
 @query(_best_sql("free DESC, uniq_id DESC", "100", "rack", _RACKED), _V, _E, _S, _T, _SEG, _F)
@@ -629,15 +631,15 @@ def update_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update.conflicts(spans, spans.select("uniq_id", "jobid", "st", "last").distinct())
 
 
-_LATE = "lt AS (SELECT (1000 + min(l_suppkey))::BIGINT AS v, o_orderkey + 100000000 AS jobid, 2 * datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)"
+_LATE = "lt AS (SELECT (1000 + min(l_suppkey))::BIGINT AS v, o_orderkey + 1000000000000000 AS jobid, 2 * datediff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)"
 
 
-@query("SELECT v AS uniq_id, count(*) AS spans, count(*) FILTER (jobid >= 100000000) AS added FROM (SELECT v, jobid FROM sp UNION ALL SELECT v, jobid FROM lt WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.v = lt.v AND sp.st < lt.st + 10 AND sp.last > lt.st)) GROUP BY v", _S, _LATE)
+@query("SELECT v AS uniq_id, count(*) AS spans, count(*) FILTER (jobid >= 100000000000000) AS added FROM (SELECT v, jobid FROM sp UNION ALL SELECT v, jobid FROM lt WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.v = lt.v AND sp.st < lt.st + 10 AND sp.last > lt.st)) GROUP BY v", _S, _LATE)
 def update_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans after jobs were put on their first pool at twice their day, but for those whose pool is held then."""
     new = _new(spark, sf_dir).withColumns({"st": F.col("st") * 2, "last": F.col("st") * 2 + 10})
     spans, _ = update.apply(model.spans(spark, sf_dir), new)
-    return spans.groupBy("uniq_id").agg(F.count("*").alias("spans"), F.count_if(F.col("jobid") >= 100_000_000).alias("added"))
+    return spans.groupBy("uniq_id").agg(F.count("*").alias("spans"), F.count_if(F.col("jobid") >= 100_000_000_000_000).alias("added"))
 
 
 @query("SELECT uniq_id, path, size FROM v WHERE type <> 'tenant' UNION ALL SELECT 20000000 + uniq_id, '/cluster1' || substr(path, 10), size FROM v WHERE type IN ('rack', 'node')", _V)

@@ -20,9 +20,8 @@ from poolframe.llm.arrow import column, distinct_shingles, groups, mix64, segmen
 from poolframe.llm.components import components
 from poolframe.llm.store import join_counted, stored, unused
 
-#: The sketch of n-gram frequencies: a counter for so many bytes of text, but powers of two between these, and how
-#: many go in a row.
-BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS, CHUNK = 128, 20, 24, 1 << 12
+#: Counters of the sketch of n-gram frequencies (the logarithm of their number), and how many go in a row.
+BITS, CHUNK = 20, 1 << 12
 #: Documents that share an n-gram are paired up to this number; beyond it they go to one family.
 RUN = 100
 #: n-grams that the sets of one block of a family hold together.
@@ -67,27 +66,21 @@ def set_ids(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix64(segment_sums(mix64(sets ^ _SIGN), begin) + np.diff(begin).astype(np.uint64)).astype(np.int64)
 
 
-def _bits(documents: DataFrame) -> int:
-    """Of the numbers of counters: the logarithm."""
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max((size // BYTES_PER_COUNTER).bit_length(), LEAST_BITS), MOST_BITS)
+def _counter(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _counter(sets: np.ndarray, bits: int) -> np.ndarray:
-    return (sets >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _describe(documents: DataFrame, width: int, bits: int) -> DataFrame:
+def _describe(documents: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, set_id) of each document, and rows (chunk, counts) of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, np.uint32)
+        sketch = np.zeros(1 << BITS, np.uint32)
         kind = pa.int64()
         for batch in batches:
             kind = column(batch, "doc_id").type
             for low, high, data, starts in texts_of(batch, "text"):
                 sets, begin = distinct_shingles(data, starts, width)
-                np.add.at(sketch, _counter(sets, bits), np.uint32(1))
+                np.add.at(sketch, _counter(sets), np.uint32(1))
                 n, none = np.diff(begin), pa.nulls(high - low)
                 yield pa.record_batch(
                     [column(batch, "doc_id").slice(low, high - low), pa.array(n, pa.int64()), pa.array(set_ids(sets, begin), pa.int64(), mask=n == 0), none.cast(pa.int32()), none.cast(pa.binary())],
@@ -105,8 +98,8 @@ def _describe(documents: DataFrame, width: int, bits: int) -> DataFrame:
     return stored(documents.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id bigint, chunk int, counts binary"), "shingles")
 
 
-def _sketch(described: DataFrame, bits: int) -> np.ndarray:
-    """The sketch of all documents: 2**MOST_BITS numbers at most, whatever the size of the corpus."""
+def _sketch(described: DataFrame) -> np.ndarray:
+    """The sketch of all documents: 2**BITS numbers, whatever the size of the corpus."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["chunk"]):
@@ -116,7 +109,7 @@ def _sketch(described: DataFrame, bits: int) -> np.ndarray:
             yield pa.record_batch([pa.array([table["chunk"][0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     rows = described.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, counts binary")
-    total = np.zeros(1 << bits, np.int64)
+    total = np.zeros(1 << BITS, np.int64)
     for chunk, counts in rows.collect():
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(counts), np.int64)
     return total
@@ -138,7 +131,7 @@ def _entries(documents: DataFrame, ranks: np.ndarray, width: int, like: Likeness
     For n-grams of common passages set and n-gram change places: these rows
     are edges as they stand, and their key spreads them over all tasks; their size is negative.
     """
-    shared, bits = documents.sparkSession.sparkContext.broadcast(ranks), len(ranks).bit_length() - 1
+    shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = shared.value, np.zeros(0, np.int64)
@@ -153,7 +146,7 @@ def _entries(documents: DataFrame, ranks: np.ndarray, width: int, like: Likeness
                 seen = np.union1d(seen, ids[take])
                 text = np.repeat(np.arange(len(n)), n)
                 sets, text = sets[take[text]], text[take[text]]
-                rank = ranks[_counter(sets, bits)]
+                rank = ranks[_counter(sets)]
                 order = np.lexsort((sets, rank, text))
                 sets, rank = sets[order], rank[order]
                 start = np.concatenate([[0], np.cumsum(np.where(take, n, 0))])
@@ -536,10 +529,9 @@ def join_groups(documents: DataFrame, width: int = 5, part: int = 75, of: int =
     """
     like = Likeness(part, of)
     slim = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
-    bits = _bits(slim)
-    described = _describe(slim, width, bits)
+    described = _describe(slim, width)
     sets = described.where("chunk IS NULL").select("doc_id", "n_shingles", "set_id")
-    entries = _entries(slim.select("text"), _ranks(_sketch(described, bits)), width, like)
+    entries = _entries(slim.select("text"), _ranks(_sketch(described)), width, like)
     families = components(_candidates(entries, like))
     nodes = stored(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "nodes")
     members = nodes.drop("copies").join(families.withColumnRenamed("node", "set_id").withColumnRenamed("label", "family"), "set_id")

@@ -31,6 +31,13 @@ def windows(jobs: DataFrame, start: int, end: int) -> DataFrame:
     return jobs.withColumns({"until": F.least(F.col("at") + length, F.lit(end).cast("bigint")), "state": state})
 
 
+def info(spans: DataFrame, now: int) -> DataFrame:
+    """jobid, state, at, until, pools: jobs that hold pools as `allocated`, those that will later as `reserved`, others as `done`."""
+    each = spans.groupBy("jobid").agg(F.min("st").alias("at"), F.max("last").alias("until"), F.count_distinct("uniq_id").alias("pools"))
+    state = F.when(F.col("at") > now, "reserved").when(F.col("until") > now, "allocated").otherwise("done")
+    return each.select("jobid", state.alias("state"), "at", "until", "pools")
+
+
 def counters(jobs: DataFrame, state: Column) -> DataFrame:
     """queue, state, jobs: how many jobs of each queue are in each state."""
     return jobs.groupBy("queue", state.alias("state")).agg(F.count("*").alias("jobs"))

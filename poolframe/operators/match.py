@@ -10,8 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from poolframe.operators.closure import ancestors
 from poolframe.operators.policy import best, bundles
+from poolframe.operators.rollup import subtree_totals
 
 
 def free_units(vertices: DataFrame, spans: DataFrame, st: int, duration: int) -> DataFrame:
@@ -97,3 +100,58 @@ def mixed_slots(units: DataFrame, first: dict[str, int], second: dict[str, int],
 
     tried = F.transform(F.sequence(F.lit(0).cast("bigint"), made(first)), lambda i: i + made(second, i))
     return sums.select(*by, F.array_max(tried).alias("slots"))
+
+
+def able(amounts: DataFrame, needs: DataFrame) -> DataFrame:
+    """need, able: of distinct needs (need), how many pools have an amount (amount) of at least so much.
+
+    Pools are counted by amount first, so the one window over all of them has as many rows as there are
+    different amounts and needs.
+    """
+    had = amounts.groupBy(F.col("amount").cast("bigint").alias("at")).agg(F.count("*").alias("n"))
+    asked = needs.select(F.col("need").cast("bigint").alias("at")).distinct()
+    both = had.select("at", "n", F.lit(False).alias("asked")).unionByName(asked.select("at", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")))
+    # Of equal ones the pools come first: what is asked for may be just met.
+    down = Window.orderBy(F.col("at").desc(), F.col("asked")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("able", F.sum("n").over(down)).where("asked").select(F.col("at").alias("need"), "able")
+
+
+def outcomes(requests: DataFrame, now: DataFrame, ever: DataFrame) -> DataFrame:
+    """jobid, outcome of requests (jobid, count, need) for so many pools with so much each below them.
+
+    `matched` if enough pools have it now, else `busy` if they would were all of them up and free, else `impossible`.
+    `now` and `ever` are the pools' amounts (amount).
+    """
+    asked = requests.withColumn("need", F.col("need").cast("bigint"))
+    counted = able(now, asked).withColumnRenamed("able", "n").join(able(ever, asked).withColumnRenamed("able", "m"), "need")
+    outcome = F.when(F.col("n") >= F.col("count"), "matched").when(F.col("m") >= F.col("count"), "busy").otherwise("impossible")
+    return asked.join(counted, "need").select("jobid", outcome.alias("outcome"))
+
+
+def pruned(pools: DataFrame, pairs: DataFrame, keep: Column, need: int, busy: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """uniq_id, reason: why a search leaves each pool (uniq_id, type, status, free) and what is below, null for those it enters.
+
+    In this order: `status`, `constraint` if `keep` doesn't hold, `availability` with less than `need` free, `exclusivity` if the
+    pool or one below is in `busy` (uniq_id), `subtree` if less of a wanted type is free below it than wanted; pools with
+    nothing of such a type below aren't asked. What is below a pool that is left has the reason `above`.
+    """
+    held = ancestors(pairs, busy).withColumn("held", F.lit(True))
+    wants = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    totals = subtree_totals(pools.drop("size").withColumnRenamed("free", "size"), pairs, {"ALL": list(wanted)})
+    short = totals.where(F.col("total") < wants[F.col("rtype")]).select(F.col("anchor").alias("uniq_id"), F.lit(True).alias("short")).distinct()
+    marked = pools.join(held, "uniq_id", "left").join(short, "uniq_id", "left")
+    own = F.when(F.col("status") != "up", "status").when(~F.coalesce(keep, F.lit(False)), "constraint").when(F.col("free") < need, "availability").when(F.col("held"), "exclusivity").when(F.col("short"), "subtree")
+    reasons = marked.select("uniq_id", own.alias("own"))
+    left = reasons.where("own IS NOT NULL").select(F.col("uniq_id").alias("anc"))
+    under = pairs.where("depth > 0").join(left, "anc", "left_semi").select(F.col("desc").alias("uniq_id"), F.lit("above").alias("above")).distinct()
+    return reasons.join(under, "uniq_id", "left").select("uniq_id", F.coalesce("above", "own").alias("reason"))
+
+
+def supported(pools: DataFrame, pairs: DataFrame, amounts: DataFrame, need: int) -> DataFrame:
+    """The pools all of whose ancestors in another subsystem, by its `pairs`, have at least `need` (uniq_id, amount).
+
+    An ancestor without an amount gives nothing; pools that the subsystem doesn't hold aren't asked of it.
+    """
+    given = amounts.select(F.col("uniq_id").alias("anc"), "amount")
+    poor = pairs.where("depth > 0").join(given, "anc", "left").where(F.coalesce("amount", F.lit(0)) < need).select(F.col("desc").alias("uniq_id")).distinct()
+    return pools.join(poor, "uniq_id", "left_anti")

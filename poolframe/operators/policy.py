@@ -101,6 +101,17 @@ def whole_nodes(chosen: DataFrame, vertices: DataFrame, pairs: DataFrame) -> Dat
     return pairs.join(used, "anc", "left_semi").select(F.col("anc").alias("node"), F.col("desc").alias("uniq_id"))
 
 
+def score_sums(chosen: DataFrame, by: Sequence[str], score: Column) -> DataFrame:
+    """by, pools, units, score: how many pools a match took of each group (taken), and the sum of their scores."""
+    return chosen.groupBy(*by).agg(F.count("*").alias("pools"), F.sum("taken").alias("units"), F.sum(score).alias("score"))
+
+
+def every(candidates: DataFrame, by: Sequence[str], order: Sequence[Column], score: Column) -> DataFrame:
+    """All candidates with their place in each group, and `upto`: the sum of scores to that place."""
+    turn = Window.partitionBy(*by).orderBy(*order)
+    return candidates.withColumns({"place": F.row_number().over(turn), "upto": F.sum(score).over(turn.rowsBetween(Window.unboundedPreceding, 0))})
+
+
 def top(candidates: DataFrame, k: int, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first k candidates of each group; tasks drop the others before they are shuffled."""
     return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolframe.functions.idset import encode
@@ -47,6 +49,12 @@ def anchors_with(totals: DataFrame, wanted: dict[str, int]) -> DataFrame:
     return enough.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("anchor")
 
 
+def least_wanted(shapes: Sequence[dict[str, int]]) -> dict[str, int]:
+    """What any of several shapes needs at least: of each type the least, and nothing of types that one shape is without."""
+    common = set.intersection(*(set(shape) for shape in shapes))
+    return {t: min(shape[t] for shape in shapes) for t in sorted(common)}
+
+
 def subtree_usage(spans: DataFrame, vertices: DataFrame, pairs: DataFrame, now: int) -> DataFrame:
     """anchor, rtype, used: units below each pool that spans hold at a time, those used at all."""
     held = spans.where((F.col("st") <= now) & (F.col("last") > now)).groupBy("uniq_id").agg(F.sum("planned").alias("used"))
@@ -87,11 +95,16 @@ def rank_histogram(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     return encode(sizes, ["size"], "rank", "ranks")
 
 
-def match_statistics(times: DataFrame, value: str, job: str) -> DataFrame:
-    """njobs, least, most, most_job, average, variance (of the population); the last two are 0 for one row."""
+def match_statistics(times: DataFrame, value: str, job: str, since: Column | None = None) -> DataFrame:
+    """njobs, least, most, most_job, average, variance (of the population); the last two are 0 for one row.
+
+    With a condition `since`, njobs_reset too: jobs after the counter was set to 0, which the other figures don't heed.
+    """
     several = F.count("*") > 1
+    counted = [] if since is None else [F.count_if(since).alias("njobs_reset")]
     return times.agg(
         F.count("*").alias("njobs"),
+        *counted,
         F.min(value).alias("least"),
         F.max(value).alias("most"),
         (-F.max(F.struct(F.col(value).alias("value"), (-F.col(job)).alias("job")))["job"]).alias("most_job"),

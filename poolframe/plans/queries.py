@@ -806,6 +806,115 @@ def graph_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.without_implied(chosen, edges)
 
 
+# Outcomes, and why pools are left.
+
+_NA = """
+na AS (SELECT fr.parent AS node, (coalesce(sum(fr.free) FILTER (fr.status = 'up' AND up.status = 'up'), 0))::BIGINT AS now, sum(greatest(coalesce(t.total, 0), fr.size))::BIGINT AS ever FROM fr JOIN v up ON up.uniq_id = fr.parent LEFT JOIN (SELECT DISTINCT v, total FROM tl) t ON t.v = fr.uniq_id WHERE fr.type = 'socket' GROUP BY fr.parent)"""
+
+
+@query("SELECT o_orderkey AS jobid, CASE WHEN (SELECT count(*) FROM na WHERE now >= 10 * (o_orderkey % 40)) >= 1 + o_orderkey % 27 THEN 'matched' WHEN (SELECT count(*) FROM na WHERE ever >= 10 * (o_orderkey % 40)) >= 1 + o_orderkey % 27 THEN 'busy' ELSE 'impossible' END AS outcome FROM orders", _V, _E, _S, _T, _SEG, _F, _NA)
+def match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order asks for some nodes with so much in sockets: had now, busy, or impossible with all nodes up and free."""
+    points = _written(spark, sf_dir)
+    peak = points.groupBy("uniq_id").agg(F.max("total").alias("total"))
+    up = _held(spark, sf_dir).where("type = 'node'").select(F.col("uniq_id").alias("parent"), F.col("status").alias("above"))
+    placed = _free(spark, sf_dir).where("type = 'socket'").join(closure.parents(model.edges(spark, sf_dir)), "uniq_id").join(up, "parent").join(peak, "uniq_id", "left")
+    now = F.sum(F.when((F.col("status") == "up") & (F.col("above") == "up"), F.col("free")).otherwise(0))
+    nodes = _kept(placed.groupBy("parent").agg(now.alias("now"), F.sum(F.greatest(F.coalesce("total", F.lit(0)), "size")).alias("ever")), "outcomes")
+    key = F.col("o_orderkey")
+    asked = model.table(spark, sf_dir, "orders").select(key.alias("jobid"), (1 + key % 27).alias("count"), (10 * (key % 40)).alias("need"))
+    return match.outcomes(asked, nodes.select(F.col("now").alias("amount")), nodes.select(F.col("ever").alias("amount")))
+
+
+@query(
+    "SELECT own.uniq_id, CASE WHEN own.uniq_id IN (SELECT cl.b FROM cl JOIN own o ON o.uniq_id = cl.a WHERE depth > 0 AND o.reason IS NOT NULL) THEN 'above' ELSE own.reason END AS reason FROM own",
+    _V, _E, _C, _S, _T, _SEG, _F,
+    "own AS (SELECT uniq_id, CASE WHEN status <> 'up' THEN 'status' WHEN id % 5 = 4 THEN 'constraint' WHEN free < 1 THEN 'availability' WHEN uniq_id IN (SELECT cl.a FROM cl JOIN sp ON sp.v = cl.b WHERE st < 20 AND last > 10 AND jobid % 9 = 0) THEN 'exclusivity' WHEN uniq_id IN (SELECT cl.a FROM cl JOIN fr f ON f.uniq_id = cl.b WHERE depth > 0 AND f.type = 'socket' GROUP BY cl.a HAVING sum(f.free) < 60) THEN 'subtree' END AS reason FROM fr WHERE type IN ('rack', 'node', 'socket'))",
+)
+def prune_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a search for pools with 60 free sockets below them leaves racks, nodes and sockets; some jobs' pools are had exclusively."""
+    spans = model.spans(spark, sf_dir)
+    busy = spans.where("st < 20 AND last > 10 AND jobid % 9 = 0").select("uniq_id").distinct()
+    pools = _kept(_free(spark, sf_dir).where("type IN ('rack', 'node', 'socket')"), "pruned")
+    return match.pruned(pools, _pairs(spark, sf_dir), F.col("id") % 5 != 4, 1, busy, {"socket": 60})
+
+
+@query("SELECT uniq_id, path FROM v WHERE type = 'tenant' AND uniq_id NOT IN (SELECT dst FROM ed WHERE subsystem = 'storage' AND src NOT IN (SELECT parent FROM fr WHERE type = 'socket' GROUP BY parent HAVING sum(free) >= 60))", _V, _E, _S, _T, _SEG, _F)
+def match_auxiliary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants whose nodes, above them in the subsystem of storage, have 60 free in sockets."""
+    storage = closure.closure(model.edges(spark, sf_dir).where("subsystem = 'storage'"), levels=1)
+    nodes = _sockets(spark, sf_dir).groupBy(F.col("parent").alias("uniq_id")).agg(F.sum("free").alias("amount"))
+    return match.supported(model.vertices(spark, sf_dir).where("type = 'tenant'"), storage, nodes, 60).select("uniq_id", "path")
+
+
+@query("SELECT parent, count(*) AS pools, sum(taken)::BIGINT AS units, sum(id + 2)::BIGINT AS score FROM (" + _best_sql("id", extra=", id") + ") GROUP BY parent", _V, _E, _S, _T, _SEG, _F)
+def match_score_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = policy.choose(_sockets(spark, sf_dir), F.lit(25).cast("bigint"), ["parent"], "low", "free")
+    return policy.score_sums(chosen, ["parent"], policy.id_score(F.col("id")))
+
+
+@query("SELECT uniq_id, up.src AS parent, row_number() OVER w::INT AS place, (sum(id + 2) OVER w)::BIGINT AS upto FROM v JOIN ed up ON up.dst = v.uniq_id WHERE type = 'socket' WINDOW w AS (PARTITION BY up.src ORDER BY id DESC)", _V, _E)
+def match_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sockets of a node in order of score, with the sum of scores so far."""
+    placed = _held(spark, sf_dir).where("type = 'socket'").join(closure.parents(model.edges(spark, sf_dir)), "uniq_id")
+    score = policy.id_score(F.col("id"))
+    return policy.every(placed, ["parent"], [score.desc(), F.col("uniq_id")], score).select("uniq_id", "parent", "place", "upto")
+
+
+@query("SELECT cl.a AS anchor FROM cl JOIN v ON v.uniq_id = cl.b WHERE depth > 0 GROUP BY cl.a HAVING sum(v.size) FILTER (v.type = 'socket') >= 12", _V, _E, _C)
+def flexible_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools that may have room for either of two shapes: of what both need, the least decides."""
+    wanted = rollup.least_wanted([{"socket": 30, "node": 3}, {"socket": 12, "rack": 9}])
+    return rollup.anchors_with(rollup.subtree_totals(_held(spark, sf_dir), _pairs(spark, sf_dir), rollup.tracked_types("ALL:socket,ALL:node")), wanted)
+
+
+@query("SELECT jobid, CASE WHEN min(st) > 400 THEN 'reserved' WHEN max(last) > 400 THEN 'allocated' ELSE 'done' END AS state, min(st) AS \"at\", max(last) AS until, count(DISTINCT v) AS pools FROM sp GROUP BY jobid", _S)
+def job_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.info(model.spans(spark, sf_dir), model.NOW)
+
+
+@query("SELECT count(*) AS njobs, count(*) FILTER (st >= 400) AS njobs_reset, max(w) AS most FROM (SELECT jobid, min(st) AS st, max(last - st) AS w FROM sp GROUP BY jobid)", _S)
+def match_stats_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = model.spans(spark, sf_dir).groupBy("jobid").agg(F.max(F.col("last") - F.col("st")).alias("w"), F.min("st").alias("st"))
+    return rollup.match_statistics(times, "w", "jobid", F.col("st") >= model.NOW).select("njobs", "njobs_reset", "most")
+
+
+@query("SELECT s_nationkey::BIGINT AS rank_of, bool_and(s_suppkey % 50 <> 7) AS same FROM supplier GROUP BY s_nationkey")
+def resources_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ranks hold the same, when every fiftieth socket is gone; compressed lists of one side are decoded."""
+    a = _held(spark, sf_dir).where("type = 'socket'").select("rank", "type", "id")
+    text = writers.resources(writers.rank_lists(a.where("id % 50 != 7")), 0, 100)
+    b = readers.rank_units(text.select(F.from_json("resources", readers.RESOURCES).alias("r")).select("r.*"))
+    return readers.same_units(a.withColumn("rank_of", F.col("rank")), b.withColumn("rank_of", F.col("rank").cast("bigint")), ["rank_of"])
+
+
+@query("SELECT s_suppkey AS id, 'socket' AS type, '/cluster0/node' || s_nationkey || '/socket' || s_suppkey AS path, '/cluster0/node' || s_nationkey AS above FROM supplier UNION ALL SELECT DISTINCT s_nationkey, 'node', '/cluster0/node' || s_nationkey, '/cluster0' FROM supplier")
+def resources_to_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ranks hold, written as a graph, read again, with the paths of parents."""
+    sockets = _held(spark, sf_dir).where("type = 'socket'").select("rank", "type", "id")
+    hosts = sockets.select("rank").distinct().select("rank", F.concat(F.lit("node"), F.col("rank").cast("string")).alias("host"))
+    text = writers.resources(writers.rank_lists(sockets), 0, 100, hosts)
+    vertices, edges = readers.graph_rows(*readers.rank_graph(text.select(F.from_json("resources", readers.RESOURCES).alias("r")).select("r.*")))
+    path = _scratch(spark, "ranks")
+    writers.write_graphs(vertices, edges, path)
+    read, links = readers.read_graphs(spark, path)
+    above = read.select(F.col("uniq_id").alias("src"), F.col("path").alias("above"))
+    return read.join(links.select("src", F.col("dst").alias("uniq_id")), "uniq_id").join(above, "src").select("id", "type", "path", "above")
+
+
+@query("SELECT '/cluster0' AS path, 'cluster' AS type UNION ALL SELECT path, type FROM v WHERE type = 'rack'", _V)
+def resources_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole racks in a list of ranks, with a graph that names what stands for all below it."""
+    pools = _held(spark, sf_dir)
+    chosen = writers.without_implied(pools.select("uniq_id", (F.col("type") == "rack").alias("exclusive")), model.edges(spark, sf_dir).where("subsystem = 'containment'"))
+    chosen = chosen.join(_pairs(spark, sf_dir).where("depth > 0").join(pools.where("type = 'rack'").select(F.col("uniq_id").alias("anc")), "anc", "left_semi").select(F.col("desc").alias("uniq_id")), "uniq_id", "left_anti")
+    nodes = pools.join(chosen.select("uniq_id", "exclusive"), "uniq_id").select(writers.node_json(F.col("exclusive")).alias("node"))
+    graph = nodes.agg(F.to_json(F.struct(F.struct(F.collect_list("node").alias("nodes")).alias("graph"))).alias("graph"))
+    text = writers.resources(writers.rank_lists(pools.where("type = 'socket'").select("rank", "type", "id")), 0, 100, graph=graph)
+    read = text.select(F.from_json("resources", f"scheduling struct<{readers.GRAPH.replace('graph struct', 'graph: struct', 1)}>").alias("r")).select("r.scheduling.graph")
+    return readers.graph(read)[0].select("path", "type")
+
+
 # Streams.
 
 _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"

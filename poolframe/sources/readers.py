@@ -126,6 +126,27 @@ def rank_graph(df: DataFrame, root: str = "cluster") -> tuple[DataFrame, DataFra
     return vertices, edges
 
 
+def graph_rows(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices of `rank_graph` with uniq_id, and edges by these, as graphs are written.
+
+    A rank's pools have numbers of their own, 2^20 a rank at most, so none is numbered over all ranks.
+    """
+    turn = Window.partitionBy("rank").orderBy(F.length("path"), "path")
+    n = F.row_number().over(turn) - 1
+    whole = F.when(n < 1 << 20, n).otherwise(F.raise_error(F.concat(F.lit("a rank has more than 2^20 pools: "), F.col("rank").cast("string"))).cast("int"))
+    numbered = vertices.withColumn("uniq_id", ((F.col("rank") + 1) * (1 << 20) + whole).cast("bigint"))
+    ids = numbered.select("path", F.col("uniq_id").alias("dst"))
+    up = ids.select(F.col("path").alias("above"), F.col("dst").alias("src"))
+    return numbered, edges.join(ids, "path").join(up, "above").select("src", "dst", F.lit("containment").alias("subsystem"))
+
+
+def same_units(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, same: whether two tables of units (by, rank, type, id) hold the same for each key, however they are listed."""
+    both = a.select(*by, "rank", "type", "id", F.lit(1).alias("side")).unionByName(b.select(*by, "rank", "type", "id", F.lit(2).alias("side")))
+    each = both.groupBy(*by, "rank", "type", "id").agg(F.bit_or("side").alias("sides"))
+    return each.groupBy(*by).agg(F.bool_and(F.col("sides") == 3).alias("same"))
+
+
 def allowed(vertices: DataFrame, types: str) -> DataFrame:
     """Vertices of the types in a comma list; an empty list allows all."""
     chosen = [t.strip() for t in types.split(",") if t.strip()]

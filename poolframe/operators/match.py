@@ -6,10 +6,12 @@ next is counted with its parent, so each level is an equi-join, a window and an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from poolframe.operators.closure import ancestors
@@ -41,9 +43,11 @@ def match(pools: DataFrame, edges: DataFrame, request: Sequence[tuple[str, int]]
         else:
             here = here.join(able, "uniq_id", "left_semi").withColumn("amount", F.lit(1).cast("bigint"))
         here = here.where("amount > 0")
-        # The outermost level is one group, as the whole graph answers for it: as many rows as there
-        # are pools of that type that can serve, the fewest of all levels.
-        by = ["parent"] if len(levels) < len(request) - 1 else []
+        by = ["parent"]
+        if len(levels) == len(request) - 1:
+            # The whole graph answers for the outermost level. Every candidate gives one at least, so the first
+            # `need` are enough: tasks keep so many each, and no window sees the others.
+            by, here = [], here.orderBy(*order).limit(need)
         # The level above reads it, and so does the way back down: it is kept, and made again if lost.
         chosen = best(here, F.lit(need), by, order).select("uniq_id", "parent", "taken").persist()
         levels.append(chosen)
@@ -84,22 +88,66 @@ def either(made: Sequence[DataFrame], by: Sequence[str] = ("parent",)) -> DataFr
     return rows.groupBy(*by).agg(F.min(F.struct("variant", "slots")).alias("first")).select(*by, "first.variant", "first.slots")
 
 
-def mixed_slots(units: DataFrame, first: dict[str, int], second: dict[str, int], by: Sequence[str] = ("parent",)) -> DataFrame:
-    """by, slots: the most slots that units (by, type, amount) make, each of either of two shapes.
+def assembled(children: DataFrame, shape: dict[str, int], by: Sequence[str] = ("parent",)) -> DataFrame:
+    """by, slot, type, id, amount: the slots that `slots` counts, numbered from 0, each with the children that it takes whole.
 
-    For every number of the first shape that there is enough for, what is left decides on the
-    second; amounts can be cut freely.
+    Children that are over, and those of slots that some type can't fill, are left out; so are children without an amount. A task
+    reads a pool's children of a type in order and remembers two numbers, so pools with very many are not held in memory.
     """
-    types = sorted({*first, *second})
-    sums = units.where(F.col("type").isin(*types)).groupBy(*by).agg(*[F.sum(F.when(F.col("type") == t, F.col("amount")).otherwise(0)).alias(f"has_{n}") for n, t in enumerate(types)])
-    has = {t: F.col(f"has_{n}") for n, t in enumerate(types)}
+    names = [*by, "type", "id", "amount"]
+    kept = children.where(F.col("type").isin(*shape) & (F.col("amount") > 0)).select(*[F.col(c).alias(c) for c in names])
+    group = [*by, "type"]
+    schema = StructType([*kept.schema.fields, StructField("slot", LongType())])
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, slot, held = None, 0, 0
+        for batch in batches:
+            places = []
+            for *key, amount in zip(*(batch[c].tolist() for c in (*group, "amount")), strict=True):
+                if key != at:
+                    at, slot, held = key, 0, 0
+                places.append(slot)
+                held += amount
+                if held >= shape[key[-1]]:
+                    slot, held = slot + 1, 0
+            yield batch.assign(slot=pd.Series(places, index=batch.index, dtype="int64"))
+
+    placed = kept.repartition(*group).sortWithinPartitions(*group, "id", "amount").mapInPandas(fill, schema)
+    full = placed.groupBy(*by, "slot").agg(*[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("amount"))), F.lit(0)).alias(f"of_{n}") for n, t in enumerate(shape)])
+    for n, least in enumerate(shape.values()):
+        full = full.where(F.col(f"of_{n}") >= least)
+    return placed.join(full.select(*by, "slot"), [*by, "slot"], "left_semi").select(*by, "slot", "type", "id", "amount")
+
+
+def mixed_slots(units: DataFrame, shapes: Sequence[dict[str, int]], by: Sequence[str] = ("parent",)) -> DataFrame:
+    """by, slots: the most slots that units (by, type, amount) make, each of any of several shapes.
+
+    For every number of each shape but the last that there is enough for, what is left decides on the
+    last; amounts can be cut freely.
+    """
+    if not shapes or not all(shape and min(shape.values()) > 0 for shape in shapes):
+        raise ValueError("a shape needs at least one type, and at least one unit of each")
+    types = sorted({t for shape in shapes for t in shape})
+    sums = units.where(F.col("type").isin(*types)).groupBy(*by).agg(*[F.sum(F.when(F.col("type") == t, F.col("amount")).otherwise(0)).cast("bigint").alias(f"has_{n}") for n, t in enumerate(types)])
+
+    def most(left: dict[str, Column], shapes: Sequence[dict[str, int]]) -> Column:
+        shape, *others = shapes
+        fit = [F.floor(left[t] / n) for t, n in shape.items()]
+        made = F.least(*fit) if len(fit) > 1 else fit[0]
+        if not others:
+            return made
+        return F.array_max(F.transform(F.sequence(F.lit(0).cast("bigint"), made), lambda i: i + most({t: has - i * shape.get(t, 0) for t, has in left.items()}, others)))
+
+    return sums.select(*by, most({t: F.col(f"has_{n}") for n, t in enumerate(types)}, shapes).alias("slots"))
 
-    def made(shape: dict[str, int], less: Column | None = None) -> Column:
-        left = [F.floor((has[t] - (less * first.get(t, 0) if less is not None else 0)) / n) for t, n in shape.items()]
-        return F.least(*left) if len(left) > 1 else left[0]
 
-    tried = F.transform(F.sequence(F.lit(0).cast("bigint"), made(first)), lambda i: i + made(second, i))
-    return sums.select(*by, F.array_max(tried).alias("slots"))
+def match_either(pools: DataFrame, edges: DataFrame, variants: Sequence[Sequence[tuple[str, int]]], order: Sequence[Column], amount: str = "free") -> DataFrame:
+    """variant and the rows of `match` for the first of several requests that can be met, or no rows if none can."""
+    rows = None
+    for n, request in enumerate(variants):
+        part = match(pools, edges, request, order, amount).select(F.lit(n).alias("variant"), "level", "uniq_id", "parent", "taken")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.join(rows.agg(F.min("variant").alias("variant")), "variant", "left_semi")
 
 
 def able(amounts: DataFrame, needs: DataFrame) -> DataFrame:

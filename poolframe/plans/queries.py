@@ -504,6 +504,16 @@ def match_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match(_kept(_free(spark, sf_dir), "free"), edges, [("rack", 2), ("node", 2), ("socket", 20)], [F.col("id"), F.col("uniq_id")])
 
 
+@query("SELECT 1 AS variant, 0 AS level, uniq_id, parent, taken FROM r UNION ALL SELECT 1, 1, uniq_id, parent, taken FROM n WHERE parent IN (SELECT uniq_id FROM r) UNION ALL SELECT 1, 2, uniq_id, parent, taken FROM s WHERE parent IN (SELECT uniq_id FROM n WHERE parent IN (SELECT uniq_id FROM r))", _V, _E, _S, _T, _SEG, _F, _MATCH)
+def match_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first choice asks for more racks than there are, so the second is taken, and not the third."""
+    node = [{"type": "node", "count": 2, "with": [{"type": "socket", "count": 20}]}]
+    asked = [{"type": "xor_slot", "count": n, "with": [{"type": "rack", "with": node}]} for n in (50, 2, 1)]
+    chains = [requests.chain(v) for v in requests.variants(asked)]
+    edges = model.edges(spark, sf_dir).where("subsystem = 'containment'")
+    return match.match_either(_kept(_free(spark, sf_dir), "free"), edges, chains, [F.col("id"), F.col("uniq_id")])
+
+
 @query("SELECT count(*) AS nodes FROM fr WHERE type = 'node' AND status = 'up' AND rank > 4 AND free > 0", _V, _E, _S, _T, _SEG, _F)
 def feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.feasible_nodes(_free(spark, sf_dir), predicates.constraint({"ranks": ["5-24"]}))
@@ -557,12 +567,17 @@ def xor_slot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.either([match.slots(children, {"core": 50, "gpu": 20}), match.slots(children, {"core": 50})])
 
 
+@query("SELECT fo.parent, fo.made - CASE WHEN fo.held = 0 THEN 1 ELSE 0 END AS slot, fo.type, nb.id, nb.amount FROM fo JOIN nb ON nb.parent = fo.parent AND nb.type = fo.type AND nb.i = fo.i JOIN sl ON sl.parent = fo.parent WHERE fo.made - CASE WHEN fo.held = 0 THEN 1 ELSE 0 END < sl.slots", _SLOT)
+def slot_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.assembled(_children(spark, sf_dir), {"core": 50, "gpu": 20})
+
+
 @query(
-    "SELECT parent, list_max([i + least((c - i * 50) // 30, (g - i * 20) // 40) FOR i IN range(0, least(c // 50, g // 20)::BIGINT + 1)])::BIGINT AS slots FROM (SELECT parent, coalesce(sum(amount) FILTER (type = 'core'), 0)::BIGINT AS c, coalesce(sum(amount) FILTER (type = 'gpu'), 0)::BIGINT AS g FROM ch GROUP BY parent)",
+    "SELECT parent, max(i + j + (c - 50 * i - 30 * j) // 80)::BIGINT AS slots FROM (SELECT *, unnest(range(0, c // 30 + 1)) AS j FROM (SELECT *, unnest(range(0, c // 50 + 1)) AS i FROM (SELECT parent, coalesce(sum(amount) FILTER (type = 'core'), 0)::BIGINT AS c, coalesce(sum(amount) FILTER (type = 'gpu'), 0)::BIGINT AS g FROM ch GROUP BY parent))) WHERE c >= 50 * i + 30 * j AND g >= 20 * i + 40 * j GROUP BY parent",
     _SLOT.split("nb AS")[0].rstrip(",\n "),
 )
 def or_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.mixed_slots(_children(spark, sf_dir), {"core": 50, "gpu": 20}, {"core": 30, "gpu": 40})
+    return match.mixed_slots(_children(spark, sf_dir), [{"core": 50, "gpu": 20}, {"core": 30, "gpu": 40}, {"core": 80}])
 
 
 _MANY = """

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import product
+from math import prod
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: a request with exclusive choices stands for no more plain ones than these.
+MOST_VARIANTS = 1000
+
 _LEAF = "type: string, count: string, unit: string, exclusive: boolean, label: string"
 
 
@@ -61,3 +68,31 @@ def problems(rows: DataFrame) -> DataFrame:
     ranges = rows.where("cmin < 1 OR cmax < cmin OR operand < 1 OR oper NOT IN ('+', '*', '^')").select("jobid", F.lit("count").alias("problem"))
     twice = rows.where("type != 'slot'").groupBy("jobid", "parent", "type").agg(F.count("*").alias("n")).where("n > 1").select("jobid", F.lit("repeated type").alias("problem"))
     return ranges.unionByName(twice).distinct()
+
+
+def variants(request: list[dict[str, Any]]) -> list[list[dict[str, Any]]]:
+    """The plain requests that one with exclusive choices (type xor_slot, at any depth) stands for, in the order to try them.
+
+    Of choices side by side each variant has one, as a slot after what it stands beside. OverflowError if there are too many.
+    """
+    below = [(r, variants(r.get("with") or [])) for r in request]
+    beside = [[r | {"with": v} if v else r for v in under] for r, under in below if r["type"] != "xor_slot"]
+    choices = [[r | {"type": "slot", "with": v}] for r, under in below if r["type"] == "xor_slot" for v in under] or [[]]
+    if prod(map(len, beside)) * len(choices) > MOST_VARIANTS:
+        raise OverflowError(f"more than {MOST_VARIANTS} variants of a request")
+    return [[*plain, *choice] for plain in product(*beside) for choice in choices]
+
+
+def chain(request: list[dict[str, Any]]) -> list[tuple[str, int]]:
+    """The levels (type, count) of a plain request that has one type at each; slots multiply what is in them."""
+    out, times = [], 1
+    while request:
+        if len(request) > 1:
+            raise ValueError("more than one type at a level")
+        (r,), request = request, request[0].get("with") or []
+        if r["type"] == "slot":
+            times *= r.get("count", 1)
+        else:
+            out.append((r["type"], r.get("count", 1) * times))
+            times = 1
+    return out

@@ -29,18 +29,25 @@ def windowed(events: DataFrame, by: str, value: Column, late: str = "1 hour", wi
 def pool_states(events: DataFrame) -> DataFrame:
     """uniq_id, seq, state after each batch in which a pool's state changed, from events (uniq_id, seq, change).
 
-    A pool is up, down, or lost for good once it was shrunk away; within a batch events count
-    in order of seq, and older ones than the last that counted are late and left out. A state is two values.
+    A pool is up, down, or lost for good once it was shrunk away; within a batch events count in order of seq (of equal
+    ones shrink, then the first by name), and older ones than the last that counted are late and left out. A state is two
+    values, and a batch is read in pieces that need no order, so a pool's events are never held together.
     """
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, now = state.get if state.exists else (-1, "up")
-        before = now
-        rows = sorted(r for b in batches for r in zip(b["seq"].tolist(), b["change"].tolist(), strict=True))
-        for at, change in rows:
-            if at > seq:
-                seq = at
-                now = "lost" if "lost" in (now, change) or change == "shrink" else change
+        seen, before = state.get if state.exists else (-1, "up")
+        seq, now, lost = seen, before, before == "lost"
+        for batch in batches:
+            fresh = batch[batch["seq"] > seen]
+            if fresh.empty:
+                continue
+            lost = lost or bool(fresh["change"].isin(["shrink", "lost"]).any())
+            last = int(fresh["seq"].max())
+            change = fresh.loc[fresh["seq"] == last, "change"].min()
+            if last > seq or (last == seq and change < now):
+                seq, now = last, change
+        if lost:
+            now = "lost"
         state.update((seq, now))
         if now != before:
             yield pd.DataFrame({"uniq_id": [key[0]], "seq": [seq], "state": [now]})

@@ -1,9 +1,12 @@
+import random
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from poolframe.functions import counts, idset
 from poolframe.operators import closure, find, jobs, match, policy, predicates, rollup, update
-from poolframe.sources import readers, writers
+from poolframe.sources import readers, requests, writers
 
 
 @pytest.fixture(scope="module")
@@ -217,7 +220,6 @@ def test_readers_and_writers(spark, tiny, tmp_path):
 
 
 def test_requests(spark):
-    from poolframe.sources import requests
 
     specs = {
         1: '{"version": 1, "resources": [{"type": "node", "count": {"min": 2, "max": 8, "operator": "^", "operand": 2}, "with": [{"type": "core", "count": 4}, {"type": "core", "count": 1}]}], "attributes": {"system": {"duration": 1.2}}}',
@@ -233,9 +235,60 @@ def test_requests(spark):
 
 def test_mixed_slots(spark):
     units = spark.createDataFrame([(1, "a", 10), (1, "b", 9), (2, "a", 4), (3, "b", 7)], "parent long, type string, amount long")
-    got = {r.parent: r.slots for r in match.mixed_slots(units, {"a": 3, "b": 1}, {"b": 2}).collect()}
+    got = {r.parent: r.slots for r in match.mixed_slots(units, [{"a": 3, "b": 1}, {"b": 2}]).collect()}
     want = {p: max(i + (b - i) // 2 for i in range(min(a // 3, b) + 1)) for p, a, b in ((1, 10, 9), (2, 4, 0), (3, 0, 7))}
     assert got == want
+    got = {r.parent: r.slots for r in match.mixed_slots(units, [{"a": 3, "b": 1}, {"b": 2}, {"a": 2, "b": 3}]).collect()}
+    numbers = list(product(range(11), repeat=3))
+    want = {p: max(i + j + k for i, j, k in numbers if 3 * i + 2 * k <= a and i + 2 * j + 3 * k <= b) for p, a, b in ((1, 10, 9), (2, 4, 0), (3, 0, 7))}
+    assert got == want
+    for bad in ([], [{}], [{"a": 0}]):
+        with pytest.raises(ValueError):
+            match.mixed_slots(units, bad)
+
+
+def test_assembled_slots(spark):
+    rng = random.Random(3)
+    rows = [(p, t, i, rng.choice([None, 0, 1, 2, 5])) for p in range(30) for t in ("core", "gpu", "disk") for i in range(rng.randrange(9))]
+    children = spark.createDataFrame(rows, "parent long, type string, id long, amount long")
+    shape = {"core": 4, "gpu": 3}
+    want = set()
+    for p in range(30):
+        filled = {}
+        for t, need in shape.items():
+            slots, part = [], []
+            for i, n in sorted((i, n) for q, u, i, n in rows if (q, u) == (p, t) and n):
+                part.append((t, i, n))
+                if sum(x[2] for x in part) >= need:
+                    slots.append(part)
+                    part = []
+            filled[t] = slots
+        for k, parts in enumerate(zip(*filled.values(), strict=False)):
+            want |= {(p, k, *x) for part in parts for x in part}
+    made = match.assembled(children, shape)
+    assert {tuple(r) for r in made.collect()} == want and len(want) > 20
+    counted = match.slots(children.where("amount > 0"), shape).where("slots > 0")
+    assert {tuple(r) for r in made.groupBy("parent").agg((F.max("slot") + 1).alias("slots")).collect()} == {tuple(r) for r in counted.collect()}
+    assert match.assembled(children.limit(0), shape).count() == 0
+
+
+def test_variants_of_exclusive_choices(tiny):
+    vertices, edges, spans, pairs = tiny
+    core, gpu = {"type": "core", "count": 2}, {"type": "gpu", "count": 1}
+    asked = [{"type": "xor_slot", "count": 2, "with": [gpu]}, {"type": "disk", "count": 1}, {"type": "xor_slot", "count": 1, "with": [core]}]
+    assert requests.variants(asked) == [[{"type": "disk", "count": 1}, {"type": "slot", "count": n, "with": [r]}] for n, r in ((2, gpu), (1, core))]
+    nested = requests.variants([{"type": "rack", "count": 1, "with": [{"type": "node", "count": 1, "with": [asked[0], asked[2]]}]}])
+    assert [requests.chain(v) for v in nested] == [[("rack", 1), ("node", 1), ("gpu", 2)], [("rack", 1), ("node", 1), ("core", 2)]]
+    assert requests.variants([]) == [[]] and requests.chain([]) == []
+    with pytest.raises(ValueError):
+        requests.chain([core, gpu])
+    with pytest.raises(OverflowError):
+        requests.variants([{"type": "node", "with": [{"type": "xor_slot", "with": [core]}] * 11}] * 3)
+    pools = match.free_units(vertices, spans, 0, 10)
+    order = [F.col("id").desc(), F.col("uniq_id")]
+    got = match.match_either(pools, edges, [requests.chain(v) for v in nested], order).collect()
+    assert sorted((r.variant, r.level, r.uniq_id) for r in got) == [(1, 0, 2), (1, 1, 13), (1, 2, 106), (1, 2, 107)]
+    assert match.match_either(pools, edges, [[("gpu", 1)]], order).count() == 0
 
 
 def test_tracked_types():
@@ -267,7 +320,6 @@ def test_any_depth(spark):
 
 
 def test_rejected_requests(spark):
-    from poolframe.sources import requests
 
     deep = '{"resources": [' + '{"type": "a", "count": 1, "with": [' * 5 + "]}" * 5 + "]}"
     rows = [(1, "no"), (2, '{"resources": [{"type": "node"}]}'), (3, '{"resources": [{"count": 1}]}'), (4, deep), (5, '{"resources": [{"type": "x", "count": 1}]}'), (6, None)]

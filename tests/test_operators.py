@@ -220,7 +220,6 @@ def test_readers_and_writers(spark, tiny, tmp_path):
 
 
 def test_requests(spark):
-
     specs = {
         1: '{"version": 1, "resources": [{"type": "node", "count": {"min": 2, "max": 8, "operator": "^", "operand": 2}, "with": [{"type": "core", "count": 4}, {"type": "core", "count": 1}]}], "attributes": {"system": {"duration": 1.2}}}',
         2: "not json",
@@ -320,7 +319,6 @@ def test_any_depth(spark):
 
 
 def test_rejected_requests(spark):
-
     deep = '{"resources": [' + '{"type": "a", "count": 1, "with": [' * 5 + "]}" * 5 + "]}"
     rows = [(1, "no"), (2, '{"resources": [{"type": "node"}]}'), (3, '{"resources": [{"count": 1}]}'), (4, deep), (5, '{"resources": [{"type": "x", "count": 1}]}'), (6, None)]
     got = {(r.jobid, r.problem) for r in requests.rejected(spark.createDataFrame(rows, "jobid long, jobspec string")).collect()}

@@ -110,6 +110,17 @@ def during(points: DataFrame, asked: DataFrame, by: Sequence[str] = BY) -> DataF
     return asked.join(least, [*by, "tm", "duration"], "left").select(*asked.columns, "least")
 
 
+def least_over(st: int, duration: int, value: str = "remaining") -> Column:
+    """An aggregate of a pool's points: the least over [st, st + duration), null without a point by its end.
+
+    For one window that all pools are asked about: a sum up of points, without numbering or joins.
+    """
+    if duration < 1:
+        raise ValueError(f"a window of {duration} holds no time")
+    tm = F.col("tm")
+    return F.least(F.max_by(value, F.when(tm <= st, tm)), F.min(F.when((tm > st) & (tm < st + duration), F.col(value))))
+
+
 def fits(points: DataFrame, duration: int, wanted: Column, after: int = 0, plan_end: int | None = None, by: Sequence[str] = BY) -> DataFrame:
     """Points from `after` on at which `wanted` units remain for `duration`: by, tm, least.
 

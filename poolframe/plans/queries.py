@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolframe.functions import counts, idset
@@ -404,11 +404,10 @@ def constraint_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Choosing.
 
 
-def _free(spark: SparkSession, sf_dir: str, st: int = 400, duration: int = 30) -> DataFrame:
-    """Sockets with what remains of their peaks over a window."""
-    points = _written(spark, sf_dir)
-    least = timeline.during(points, points.select("uniq_id").distinct().select("uniq_id", F.lit(st).cast("bigint").alias("tm"), F.lit(duration).cast("bigint").alias("duration")))
-    return _held(spark, sf_dir).join(least.select("uniq_id", F.col("least").alias("free")), "uniq_id", "left").withColumn("free", F.coalesce("free", "size"))
+def _free(spark: SparkSession, sf_dir: str, *more: Column, st: int = 400, duration: int = 30) -> DataFrame:
+    """Sockets with what remains of their peaks over a window, and more aggregates of their points."""
+    least = _timeline(spark, sf_dir).groupBy("uniq_id").agg(timeline.least_over(st, duration).alias("free"), *more)
+    return _held(spark, sf_dir).join(least, "uniq_id", "left").withColumn("free", F.coalesce("free", "size"))
 
 
 _F = """
@@ -830,10 +829,8 @@ na AS (SELECT fr.parent AS node, (coalesce(sum(fr.free) FILTER (fr.status = 'up'
 @query("SELECT o_orderkey AS jobid, CASE WHEN (SELECT count(*) FROM na WHERE now >= 10 * (o_orderkey % 40)) >= 1 + o_orderkey % 27 THEN 'matched' WHEN (SELECT count(*) FROM na WHERE ever >= 10 * (o_orderkey % 40)) >= 1 + o_orderkey % 27 THEN 'busy' ELSE 'impossible' END AS outcome FROM orders", _V, _E, _S, _T, _SEG, _F, _NA)
 def match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order asks for some nodes with so much in sockets: had now, busy, or impossible with all nodes up and free."""
-    points = _written(spark, sf_dir)
-    peak = points.groupBy("uniq_id").agg(F.max("total").alias("total"))
     up = _held(spark, sf_dir).where("type = 'node'").select(F.col("uniq_id").alias("parent"), F.col("status").alias("above"))
-    placed = _free(spark, sf_dir).where("type = 'socket'").join(closure.parents(model.edges(spark, sf_dir)), "uniq_id").join(up, "parent").join(peak, "uniq_id", "left")
+    placed = _free(spark, sf_dir, F.max("total").alias("total")).where("type = 'socket'").join(closure.parents(model.edges(spark, sf_dir)), "uniq_id").join(up, "parent")
     now = F.sum(F.when((F.col("status") == "up") & (F.col("above") == "up"), F.col("free")).otherwise(0))
     nodes = _kept(placed.groupBy("parent").agg(now.alias("now"), F.sum(F.greatest(F.coalesce("total", F.lit(0)), "size")).alias("ever")), "outcomes")
     key = F.col("o_orderkey")

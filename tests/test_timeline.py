@@ -131,3 +131,17 @@ def test_every_question_is_answered(spark, monkeypatch, runs):
     got = sorted(((r.uniq_id, r.tm, r.duration), r.least) for r in timeline.during(points, asked).collect())
     assert got == [((1, -5, 2), None), ((1, -5, 50), 1), ((1, 4, 3), 1), ((1, 4, 3), 1), ((1, 9, 1000), 3), ((9, 4, 3), None)]
     assert timeline.at(points, asked).count() == 6
+
+
+def test_one_window_is_read_without_numbering(spark):
+    rng = random.Random(11)
+    spans = [(p, j, s := rng.randrange(60), s + rng.randint(1, 20), rng.randint(0, 4)) for p in (1, 2, 3) for j in range(25)]
+    points = timeline.timeline(frame(spark, spans), totals(spark, (1, 40), (2, 50), (3, 60), (4, 5)), start=-3)
+    for st, duration in ((-9, 2), (-9, 30), (0, 1), (17, 9), (59, 40), (300, 1)):
+        asked = points.select("uniq_id", F.lit(st).cast("long").alias("tm"), F.lit(duration).cast("long").alias("duration")).distinct()
+        want = {r.uniq_id: r.least for r in timeline.during(points, asked).collect()}
+        got = points.groupBy("uniq_id").agg(timeline.least_over(st, duration).alias("least"))
+        assert {r.uniq_id: r.least for r in got.collect()} == want
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        timeline.least_over(4, 0)

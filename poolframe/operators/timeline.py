@@ -44,6 +44,20 @@ def peak_timeline(spans: DataFrame, by: Sequence[str] = BY, start: int = 0) -> D
     return used.select(*by, "tm", (total - F.col("used")).alias("remaining"), total.alias("total"))
 
 
+def peak_timelines(spans: DataFrame, kinds: Sequence[str], by: Sequence[str] = BY, start: int = 0) -> DataFrame:
+    """by, tm and a column for each of `kinds`: what remains of the most that a pool ever had in use of it.
+
+    Spans hold units of several kinds at once, in columns of these names. All kinds share their points, so a row
+    has all of them, and spans are summed and sorted once, not for each kind.
+    """
+    first = spans.select(*by).distinct().select(*by, F.lit(start).cast("bigint").alias("tm"), *[F.lit(0).cast("bigint").alias(k) for k in kinds])
+    ends = spans.select(*by, F.inline(F.array(F.struct(F.col("st").alias("tm"), *kinds), F.struct(F.col("last").alias("tm"), *[(-F.col(k)).alias(k) for k in kinds]))))
+    steps = ends.unionByName(first).groupBy(*by, "tm").agg(*[F.sum(k).alias(k) for k in kinds])
+    so_far = Window.partitionBy(*by).orderBy("tm").rowsBetween(Window.unboundedPreceding, 0)
+    used = steps.select(*by, "tm", *[F.sum(k).over(so_far).alias(k) for k in kinds])
+    return used.select(*by, "tm", *[(F.max(k).over(Window.partitionBy(*by)) - F.col(k)).alias(k) for k in kinds])
+
+
 def timeline(spans: DataFrame, totals: DataFrame, by: Sequence[str] = BY, start: int = 0) -> DataFrame:
     """by, tm, remaining, total: for every pool in `totals`, those without spans too, the points from `start` on."""
     first = totals.select(*by, F.lit(start).cast("bigint").alias("st"), F.lit(start).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("planned"))
@@ -156,6 +170,16 @@ def fits_all(points: DataFrame, duration: int, wanted: dict[str, int], after: in
     return at_once.where(F.col("candidate") & (F.col("n") == len(wanted))).select(*by, "tm")
 
 
+def fits_at_once(points: DataFrame, duration: int, wanted: dict[str, int], after: int = 0, by: Sequence[str] = BY) -> DataFrame:
+    """by, tm: as `fits_all`, of points that have a column for each kind (`peak_timelines`): one window answers for all."""
+    ahead = Window.partitionBy(*by).orderBy("tm").rangeBetween(0, duration - 1)
+    ahead_of = points.where(F.col("tm") >= after).select(*by, "tm", *[F.min(k).over(ahead).alias(k) for k in wanted])
+    enough = F.lit(True)
+    for k, n in wanted.items():
+        enough = enough & (F.col(k) >= n)
+    return ahead_of.where(enough).select(*by, "tm")
+
+
 def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[str] = BY, kind: Sequence[str] = ()) -> DataFrame:
     """The spans with those of `new` (by, jobid, st, last, planned) that fit, each beside those added before it.
 

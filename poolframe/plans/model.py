@@ -91,6 +91,19 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of three types of units at once, a row for each span with a column for each type."""
+    start = day(F.col("l_shipdate"))
+    units = {"core": F.col("l_linenumber"), "gpu": F.col("l_linenumber") % 2, "memory": F.col("l_quantity")}
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") + SOCKET).alias("uniq_id"),
+        F.col("l_orderkey").alias("jobid"),
+        start.alias("st"),
+        (start + F.col("l_quantity").cast("bigint")).alias("last"),
+        *[n.cast("bigint").alias(k) for k, n in units.items()],
+    )
+
+
 def multi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of three types of units at once, a row for each with rtype; requests of 0 count."""
     start = day(F.col("l_shipdate"))

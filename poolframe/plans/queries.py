@@ -207,13 +207,22 @@ ms AS (SELECT v, jobid, st, last, 'core' AS rtype, n FROM sp UNION ALL SELECT v,
 _MT = _points("ml", "ms", "v, rtype")
 
 
+#: What a span over several types asks for.
+_WANTED = {"core": 8, "gpu": 1, "memory": 60}
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.peak_timelines(model.wide_spans(spark, sf_dir), list(_WANTED))
+
+
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.peak_timeline(model.multi_spans(spark, sf_dir), ("uniq_id", "rtype"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("rtype"), F.col(k).alias("remaining")) for k in _WANTED])
+    return _wide(spark, sf_dir).select("uniq_id", "tm", F.inline(kinds))
 
 
 @query("SELECT v AS uniq_id, min(tm) AS tm FROM (SELECT v, tm, bool_and(m >= CASE rtype WHEN 'core' THEN 8 WHEN 'gpu' THEN 1 ELSE 60 END) AS ok FROM (SELECT *, min(remaining) OVER (PARTITION BY v, rtype ORDER BY tm RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM ml) WHERE tm >= 300 GROUP BY v, tm HAVING count(*) = 3) WHERE ok GROUP BY v", _S, _M, _MT)
 def planner_multi_avail_time_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.fits_all(_multi(spark, sf_dir), 5, {"core": 8, "gpu": 1, "memory": 60}, after=300).groupBy("uniq_id").agg(F.min("tm").alias("tm"))
+    return timeline.fits_at_once(_wide(spark, sf_dir), 5, _WANTED, after=300).groupBy("uniq_id").agg(F.min("tm").alias("tm"))
 
 
 @query("SELECT v AS uniq_id, max(remaining) FILTER (rtype = 'core') AS core, max(remaining) FILTER (rtype = 'gpu') AS gpu, max(remaining) FILTER (rtype = 'memory') AS memory FROM (SELECT v, rtype, arg_max(remaining, tm) AS remaining FROM ml WHERE tm <= 500 GROUP BY v, rtype) GROUP BY v", _S, _M, _MT)
@@ -238,10 +247,8 @@ def planner_multi_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT v AS uniq_id, bool_and(least >= CASE rtype WHEN 'core' THEN 8 WHEN 'gpu' THEN 1 ELSE 60 END) AS met FROM (SELECT v, rtype, min(remaining) AS least FROM (SELECT *, lead(tm) OVER (PARTITION BY v, rtype ORDER BY tm) AS until FROM ml) WHERE tm < 330 AND (until IS NULL OR until > 300) GROUP BY v, rtype) GROUP BY v", _S, _M, _MT)
 def planner_multi_avail_during(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each pool has enough of every type over a month."""
-    points = _kept(_multi(spark, sf_dir), "points")
-    wanted = F.when(F.col("rtype") == "core", 8).when(F.col("rtype") == "gpu", 1).otherwise(60)
-    asked = points.select("uniq_id", "rtype", F.lit(300).cast("bigint").alias("tm"), F.lit(30).cast("bigint").alias("duration")).distinct()
-    return timeline.during(points, asked, ("uniq_id", "rtype")).groupBy("uniq_id").agg(F.bool_and(F.col("least") >= wanted).alias("met"))
+    met = [timeline.least_over(300, 30, k) >= n for k, n in _WANTED.items()]
+    return _wide(spark, sf_dir).groupBy("uniq_id").agg((met[0] & met[1] & met[2]).alias("met"))
 
 
 @query("SELECT v AS uniq_id, rtype, tm, CASE rtype WHEN 'core' THEN 100 ELSE 900 END - used AS remaining, CASE rtype WHEN 'core' THEN 100 ELSE 900 END::BIGINT AS total FROM ml_run WHERE rtype <> 'gpu' UNION ALL SELECT DISTINCT v, 'disk', 0, 7, 7 FROM sp", _S, _M, _MT)

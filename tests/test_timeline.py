@@ -145,3 +145,15 @@ def test_one_window_is_read_without_numbering(spark):
     assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError):
         timeline.least_over(4, 0)
+
+
+def test_kinds_side_by_side_equal_kinds_apart(spark):
+    rng = random.Random(3)
+    wide = [(p, j, s := rng.randrange(40), s + rng.randint(1, 9), rng.randint(0, 3), rng.randint(0, 1)) for p in (1, 2, 3) for j in range(20)]
+    spans = spark.createDataFrame(wide, "uniq_id long, jobid long, st long, last long, core long, gpu long")
+    apart = spark.createDataFrame([(p, j, s, e, k, n) for p, j, s, e, c, g in wide for k, n in (("core", c), ("gpu", g))], "uniq_id long, jobid long, st long, last long, rtype string, planned long")
+    long = timeline.peak_timeline(apart, ("uniq_id", "rtype"))
+    points = timeline.peak_timelines(spans, ["core", "gpu"])
+    assert sorted((r.uniq_id, r.tm, k, r[k]) for r in points.collect() for k in ("core", "gpu")) == sorted((r.uniq_id, r.tm, r.rtype, r.remaining) for r in long.collect())
+    want = sorted(tuple(r) for r in timeline.fits_all(long, 4, {"core": 3, "gpu": 1}, 5).collect())
+    assert sorted(tuple(r) for r in timeline.fits_at_once(points, 4, {"core": 3, "gpu": 1}, 5).collect()) == want and want

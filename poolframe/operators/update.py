@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from poolframe.operators.closure import descendants
-from poolframe.operators.timeline import at
 
 
 def cancel(spans: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -62,29 +61,28 @@ def shrink(vertices: DataFrame, spans: DataFrame, pairs: DataFrame, roots: DataF
     return vertices.join(gone, "uniq_id", "left_anti"), spans.join(gone, "uniq_id", "left_anti")
 
 
-def _meeting(spans: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
-    """`new` (by, st, last) made distinct, with `met`: how many spans overlap [st, last) in their group.
+def conflicts(spans: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of `new` (uniq_id, jobid, st, last) whose pool a span of another job holds meanwhile.
 
-    Those that begin before its end, less those that end by its start: two running counts that are read at
-    times, so no span meets another in a join.
+    Of the spans that begin before a row's end, the one that ends last decides, or if it is of the row's own job, the one
+    of another job that ends last: both are running maxima, read once at each distinct end. Spans of a pool with
+    equal times are one row with two of their jobs, so no span meets another in a join.
     """
-
-    def counted(time: str) -> DataFrame:
-        n = spans.groupBy(*by, F.col(time).alias("tm")).agg(F.count("*").alias("n"))
-        return n.select(*by, "tm", F.sum("n").over(Window.partitionBy(*by).orderBy("tm")).alias("remaining"))
-
-    asked = new.select(*by, "st", "last").distinct()
-    begun = at(counted("st"), asked.withColumn("tm", F.col("last") - 1), by).withColumnRenamed("remaining", "begun").drop("tm")
-    both = at(counted("last"), begun.withColumn("tm", F.col("st")), by).drop("tm")
-    return both.select(*by, "st", "last", (F.coalesce("begun", F.lit(0)) - F.coalesce("remaining", F.lit(0))).alias("met"))
-
-
-def conflicts(spans: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of `new` (uniq_id, jobid, st, last) whose pool a span of another job holds meanwhile."""
-    of_all = _meeting(spans, new, ["uniq_id"]).withColumnRenamed("met", "of_all")
-    of_job = _meeting(spans, new, ["uniq_id", "jobid"]).withColumnRenamed("met", "of_job")
-    clash = of_job.join(of_all, ["uniq_id", "st", "last"]).where("of_all > of_job").select("uniq_id", "jobid", "st", "last")
-    return new.join(clash, ["uniq_id", "jobid", "st", "last"], "left_semi").select(*new.columns)
+    times = spans.where("st IS NOT NULL AND last IS NOT NULL").groupBy("uniq_id", "st", "last").agg(F.min("jobid").alias("a"), F.max("jobid").alias("b"))
+    held = times.select("uniq_id", F.col("st").alias("tm"), "last", F.explode(F.array_distinct(F.array("a", "b"))).alias("jobid")).where("jobid IS NOT NULL")
+    ends = new.where("last IS NOT NULL").select("uniq_id", F.col("last").alias("tm")).distinct()
+    span = F.struct("last", "jobid")
+    # Spans that begin at an end come after it.
+    both = held.select("uniq_id", "tm", F.lit(1).alias("kind"), span.alias("span")).unionByName(ends.select("uniq_id", "tm", F.lit(0).alias("kind")), allowMissingColumns=True)
+    turn = Window.partitionBy("uniq_id").orderBy("tm", "kind", "span")
+    before = turn.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = turn.rowsBetween(Window.unboundedPreceding, 0)
+    topped = both.withColumn("top", F.max("span").over(before))
+    # What isn't the last to end, when a span of another job is: a job that comes to be the last has lost to none since.
+    behind = F.when(F.col("top.jobid") != F.col("span.jobid"), F.least("top", "span"))
+    read = topped.withColumn("second", F.max(behind).over(so_far)).where("kind = 0").select("uniq_id", F.col("tm").alias("last"), "top", "second")
+    other = F.when(F.col("top.jobid") != F.col("jobid"), F.col("top.last")).otherwise(F.col("second.last"))
+    return new.join(read, ["uniq_id", "last"]).where(F.col("jobid").isNotNull() & (other > F.col("st"))).select(*new.columns)
 
 
 def apply(spans: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -361,3 +361,23 @@ def test_conflicts_equal_pairs(spark):
     assert sorted(tuple(r) for r in update.conflicts(held, asked).collect()) == want
     kept, refused = update.apply(held, asked)
     assert kept.count() == len(spans) + sum(n[1] not in {w[1] for w in want} for n in new) and {r.jobid for r in refused.collect()} == {w[1] for w in want}
+
+
+def test_conflicts_of_empty_spans(spark):
+    schema = "uniq_id long, jobid long, st long, last long, planned long"
+    held = spark.createDataFrame([(1, 1, 5, 5, 1), (1, 2, 3, 8, 1), (2, 1, 0, 9, 1), (2, 1, 1, 7, 1), (2, 2, 2, 4, 1), (2, None, 0, 50, 1)], schema)
+    asked = spark.createDataFrame([(1, 3, 5, 5, 1), (1, 2, 6, 7, 1), (2, 1, 3, 9, 1), (2, 1, 3, 9, 1), (2, 1, 4, 9, 1), (2, None, 0, 9, 1), (2, 2, 8, 9, 1)], schema)
+    want = [(1, 3, 5, 5, 1), (2, 1, 3, 9, 1), (2, 1, 3, 9, 1), (2, 2, 8, 9, 1)]
+    assert sorted(tuple(r) for r in update.conflicts(held, asked).collect()) == want
+
+
+def test_associated_lists(spark, monkeypatch):
+    monkeypatch.setattr(readers, "BLOCK", 4)
+    a = spark.createDataFrame([(n, f"/c/{'xyz'[n % 3]}/s{n}") for n in range(30)], "uniq_id long, path string")
+    b = spark.createDataFrame([(n, f"/c/{'xyw'[n % 3]}/t{n}") for n in range(100, 150)], "uniq_id long, path string")
+    above = counts.path_above(F.col("path"), 1)
+    want = sorted((s, t) for s in range(30) for t in range(100, 150) if s % 3 == t % 3 and s % 3 < 2)
+    got = readers.associate(a, b, above)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    # What is joined and dealt are lists, not pairs.
+    assert got._jdf.queryExecution().optimizedPlan().toString().index("Generate") < got._jdf.queryExecution().optimizedPlan().toString().index("Join")

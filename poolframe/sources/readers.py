@@ -169,7 +169,23 @@ def shorthand(vertices: DataFrame, pairs: DataFrame, given: DataFrame) -> DataFr
     return vertices.join(chosen, "uniq_id", "left_semi")
 
 
+#: Ids of one path are listed by ranges of so many, and pairs are made of so many targets at a time.
+IDS, TURN = 1 << 16, 128
+
+
 def associate(sources: DataFrame, targets: DataFrame, levels: Column) -> DataFrame:
-    """src, dst of pools whose paths are equal without their last names, `levels` of them."""
-    a = sources.select(F.col("uniq_id").alias("src"), levels.alias("above"))
-    return a.join(targets.select(F.col("uniq_id").alias("dst"), levels.alias("above")), "above").select("src", "dst")
+    """src, dst of pools whose paths are equal without their last names, `levels` of them.
+
+    Every source of a path meets every target: there are as many rows as pairs. Lists of ids are joined and dealt, and
+    pairs are made where they are read. They come in short turns, which files hold well.
+    """
+
+    def lists(pools: DataFrame, name: str) -> DataFrame:
+        return pools.groupBy(levels.alias("above"), F.floor(F.col("uniq_id") / IDS)).agg(F.collect_list("uniq_id").alias(name)).select("above", name)
+
+    met = lists(sources, "srcs").join(lists(targets, "dsts"), "above").select("srcs", "dsts")
+    # A path with very many pools is dealt to all tasks.
+    dealt = met.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    turns = F.transform(F.sequence(F.lit(1), F.size("dsts"), F.lit(TURN)), lambda n: F.slice("dsts", n, TURN))
+    turned = dealt.select("srcs", F.explode(turns).alias("dsts"))
+    return turned.select("dsts", F.explode("srcs").alias("src")).select("src", F.explode("dsts").alias("dst"))

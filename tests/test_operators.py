@@ -372,7 +372,8 @@ def test_conflicts_of_empty_spans(spark):
 
 
 def test_associated_lists(spark, monkeypatch):
-    monkeypatch.setattr(readers, "BLOCK", 4)
+    monkeypatch.setattr(readers, "IDS", 16)
+    monkeypatch.setattr(readers, "TURN", 3)
     a = spark.createDataFrame([(n, f"/c/{'xyz'[n % 3]}/s{n}") for n in range(30)], "uniq_id long, path string")
     b = spark.createDataFrame([(n, f"/c/{'xyw'[n % 3]}/t{n}") for n in range(100, 150)], "uniq_id long, path string")
     above = counts.path_above(F.col("path"), 1)

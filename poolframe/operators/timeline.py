@@ -94,13 +94,41 @@ def segments(points: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 RUNS = 16
 
 
-def during(points: DataFrame, asked: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+#: Points are listed by stretches of so much time at least.
+STRETCH = 32
+
+
+def _within(points: DataFrame, asked: DataFrame, by: Sequence[str], longest: int) -> DataFrame:
+    """`during` for windows of at most `longest`: points are listed by stretches of time that are no shorter, so a window
+    lies in the one that it begins in and the next, and each question meets one row in an equi-join."""
+    width = max(STRETCH, longest)
+    begin = (F.col("tm") - F.pmod(F.col("tm"), F.lit(width).cast("bigint"))).alias("stretch")
+    # Stretches that are asked about have a row without points, too.
+    probes = asked.where("tm IS NOT NULL").select(*by, begin).distinct()
+    rows = points.select(*by, begin, F.struct("tm", "remaining").alias("point")).unionByName(probes, allowMissingColumns=True)
+    lists = rows.groupBy(*by, "stretch").agg(F.sort_array(F.collect_list("point")).alias("own"))
+    turn = Window.partitionBy(*by).orderBy("stretch")
+    final = F.get("own", F.size("own") - 1)["remaining"]
+    table = lists.select(*by, "stretch", "own", F.last(final, ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.when(F.lead("stretch").over(turn) == F.col("stretch") + width, F.lead("own").over(turn)).alias("next"))
+    end = F.col("tm") + F.col("duration")
+    now = F.coalesce(F.array_max(F.filter("own", lambda x: x["tm"] <= F.col("tm")))["remaining"], F.col("carried"))
+    ahead = [F.array_min(F.transform(F.filter(c, lambda x: (x["tm"] > F.col("tm")) & (x["tm"] < end)), lambda x: x["remaining"])) for c in ("own", "next")]
+    too_long = F.raise_error(F.concat(F.lit(f"a window is longer than {longest}: "), F.col("duration").cast("string"))).cast("bigint")
+    least = F.when(F.col("duration") > longest, too_long).when(F.col("duration") > 0, F.least(now, *ahead))
+    return asked.withColumn("stretch", begin).join(table, [*by, "stretch"], "left").select(*asked.columns, least.alias("least"))
+
+
+def during(points: DataFrame, asked: DataFrame, by: Sequence[str] = BY, longest: int | None = None) -> DataFrame:
     """`asked` (by, tm, duration, ...) with least: the least that remains over [tm, tm + duration).
 
+    If no window is longer than `longest`, say so: points are then neither numbered nor multiplied. Longer ones fail.
+
     Every row of `asked` is answered, repeated ones too; pools without a point by then get null. Points are numbered, and the
     least over 1, 2, 4 ... points from each on is kept. A window is the points between two as-of reads, and two
     such runs cover them, or some more if it is longer than the longest run: so questions and points meet in equi-joins alone.
     """
+    if longest is not None:
+        return _within(points, asked, by, longest)
     turn = Window.partitionBy(*by).orderBy("tm")
     numbered = points.select(*by, "tm", F.col("remaining").alias("r0"), F.row_number().over(turn).alias("n"))
     for k in range(1, RUNS):

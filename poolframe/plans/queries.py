@@ -140,7 +140,7 @@ _DURING = "during AS (SELECT ask.v, ask.tm, ask.jobid, ask.q, min(remaining) AS
 
 
 def _least(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.during(_written(spark, sf_dir), _asked(spark, sf_dir).withColumn("duration", F.lit(10).cast("bigint")))
+    return timeline.during(_timeline(spark, sf_dir), _asked(spark, sf_dir).withColumn("duration", F.lit(10).cast("bigint")), longest=10)
 
 
 @query("SELECT v AS uniq_id, tm, jobid, 10::BIGINT AS duration, least FROM during", _S, _T, _A, _SEG, _DURING)

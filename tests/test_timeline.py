@@ -157,3 +157,16 @@ def test_kinds_side_by_side_equal_kinds_apart(spark):
     assert sorted((r.uniq_id, r.tm, k, r[k]) for r in points.collect() for k in ("core", "gpu")) == sorted((r.uniq_id, r.tm, r.rtype, r.remaining) for r in long.collect())
     want = sorted(tuple(r) for r in timeline.fits_all(long, 4, {"core": 3, "gpu": 1}, 5).collect())
     assert sorted(tuple(r) for r in timeline.fits_at_once(points, 4, {"core": 3, "gpu": 1}, 5).collect()) == want and want
+
+
+def test_short_windows_meet_one_row(spark):
+    rng = random.Random(2)
+    spans = [(p, j, s := rng.randrange(-90, 900) * (1 if p < 3 else 1000), s + rng.randint(1, 50), rng.randint(0, 4)) for p in (1, 2, 3) for j in range(60)]
+    points = timeline.timeline(frame(spark, spans), totals(spark, (1, 90), (2, 90), (3, 90), (4, 5)), start=-20)
+    rows = [(rng.randint(1, 5), rng.randrange(-150, 1000) * rng.choice((1, 1000)), rng.randint(0, 40), n // 2) for n in range(400)]
+    asked = spark.createDataFrame([*rows, rows[0], (1, None, 3, 7)], "uniq_id long, tm long, duration long, note long")
+    key = lambda r: tuple(-(10**9) if v is None else v for v in r)
+    want = sorted(map(key, timeline.during(points, asked).collect()))
+    assert sorted(map(key, timeline.during(points, asked, longest=40).collect())) == want
+    with pytest.raises(Exception, match="longer than 39"):
+        timeline.during(points, asked.where("duration = 40"), longest=39).collect()

@@ -208,12 +208,16 @@ def fits_at_once(points: DataFrame, duration: int, wanted: dict[str, int], after
     return ahead_of.where(enough).select(*by, "tm")
 
 
-def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[str] = BY, kind: Sequence[str] = ()) -> DataFrame:
+#: So many stretches of a pool in which new spans overlap are tried by one call.
+BUNDLE = 64
+
+
+def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[str] = BY, kind: Sequence[str] = (), longest: int | None = None) -> DataFrame:
     """The spans with those of `new` (by, jobid, st, last, planned) that fit, each beside those added before it.
 
     New spans are tried in order of jobid, st and last in each pool. What fits even if all new ones are added needs no
-    order and is added at once. The others are tried in turn by tasks that take a pool and a stretch of time
-    in which they overlap, as in other stretches they don't meet.
+    order and is added at once. The others are tried in turn by tasks that take a pool and some stretches of time
+    in which they overlap, as in other stretches they don't meet. `longest` is what `during` makes of it.
 
     With `kind` (columns of `by`, such as the type of units) the rows of a job with equal st and last are one span over several
     kinds: it is added with all of them or not at all.
@@ -225,7 +229,7 @@ def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[
     both = steps.unionByName(new.select(*by, change)).groupBy(*by, "tm").agg(F.sum("change").alias("change"))
     crowded = both.select(*by, "tm", (-F.sum("change").over(Window.partitionBy(*by).orderBy("tm"))).alias("remaining"))
     asked = new.select(*by, "jobid", "st", "last", "planned", F.col("st").alias("tm"), (F.col("last") - F.col("st")).alias("duration"))
-    tested = during(crowded, asked, by).withColumn("fits", F.coalesce(F.col("least") >= 0, F.lit(False)))
+    tested = during(crowded, asked, by, longest).withColumn("fits", F.coalesce(F.col("least") >= 0, F.lit(False)))
     # Read five times below: kept while it is needed, and made again if an executor is lost.
     tested = tested.withColumn("fits", F.min("fits").over(Window.partitionBy(*who))).persist()
     sure, open_ = tested.where("fits"), tested.where("NOT fits")
@@ -233,7 +237,7 @@ def add_spans(spans: DataFrame, points: DataFrame, new: DataFrame, by: Sequence[
     before = Window.partitionBy(*pool).orderBy("st", "last", "jobid").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("st") >= F.coalesce(F.max("last").over(before), F.col("st"))
     spans_of = open_.select(*who).distinct().withColumn("fresh", fresh.cast("int"))
-    stretches = spans_of.withColumn("stretch", F.sum("fresh").over(Window.partitionBy(*pool).orderBy("st", "last", "jobid"))).drop("fresh")
+    stretches = spans_of.withColumn("stretch", F.floor(F.sum("fresh").over(Window.partitionBy(*pool).orderBy("st", "last", "jobid")) / BUNDLE)).drop("fresh")
     limits = stretches.groupBy(*pool, "stretch").agg(F.min("st").alias("from"), F.max("last").alias("to"))
     base = steps.unionByName(sure.select(*by, change)).groupBy(*by, "tm").agg(F.sum("change").alias("change"))
     base = segments(base.select(*by, "tm", (-F.sum("change").over(Window.partitionBy(*by).orderBy("tm"))).alias("remaining")), by)

@@ -170,3 +170,14 @@ def test_short_windows_meet_one_row(spark):
     assert sorted(map(key, timeline.during(points, asked, longest=40).collect())) == want
     with pytest.raises(Exception, match="longer than 39"):
         timeline.during(points, asked.where("duration = 40"), longest=39).collect()
+
+
+@pytest.mark.parametrize("bundle", [1, 3, 64])
+def test_stretches_are_tried_in_bundles(spark, monkeypatch, bundle):
+    monkeypatch.setattr(timeline, "BUNDLE", bundle)
+    rng = random.Random(4)
+    new = [(p, 100 + j, s := rng.randrange(400), s + rng.randint(1, 9), rng.randint(1, 4)) for p in (1, 2) for j in range(60)]
+    base = frame(spark, [(1, 1, 5, 390, 1)])
+    got = timeline.add_spans(base, timeline.timeline(base, totals(spark, (1, 5), (2, 5))), frame(spark, new), longest=9).where("jobid >= 100")
+    want = sequential([(1, 1, 5, 390, {"x": 1})], {(1, "x"): 5, (2, "x"): 5}, [(p, j, s, e, {"x": n}) for p, j, s, e, n in new])
+    assert sorted((r.uniq_id, r.jobid, r.st, r["last"]) for r in got.collect()) == want and len(want) < len(new)
